@@ -69,7 +69,7 @@ def discard(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, read without running a job; sizes partitions, never results."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(size, 1 << 50)
 
 
