@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, key: Column, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and the columns in `keep`) for every row of `docs`.
+    """doc_id, size, source_size, target, taken, source (and the columns in `keep`) for every row of `docs`.
 
     Each document gets the hash of (seed, id) as a random key. Ranges of the key cut every source, hot ones most,
     into pieces of RANGE_ROWS or so; their totals give each piece its offset, and a running sum inside the piece
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, key: Column, size: Column, weights: tuple[int, ...] = W
     """
     n = docs.select(
         F.col("doc_id"), F.col("source"), size.cast("long").alias("size"), key.alias("_tie"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"), *keep,
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
     per = n.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     cuts = source_targets(per.select("source", "source_size"), weights, share, most).join(per.select(F.col("source").alias("_s"), (F.ceil(F.col("_rows") / RANGE_ROWS)).alias("_ranges")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, key: Column, size: Column, weights: tuple[int, ...] = W
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
-    return n.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+    return n.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def n_words(text: Column) -> Column:
@@ -75,10 +75,9 @@ def n_words(text: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, keep: tuple[str, ...] = (), **more) -> DataFrame:
-    """mix() of documents by their words, ties by text."""
-    cols = dict.fromkeys(("doc_id", "source", *keep))
-    lean = docs.select(*cols, n_words(F.col("text")).alias("_size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
-    return mix(lean, F.col("_text"), F.col("_size"), keep=keep, **more)
+    """mix() of documents by their words, ties by text; `keep` are further columns of `docs` to return."""
+    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return mix(docs, tie, n_words(F.col("text")), keep=keep, **more)
 
 
 ORACLE = """
@@ -97,5 +96,5 @@ r AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source
              CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (epochs * size + greatest(0, least(size, round(target - epochs * source_size) - start)))::BIGINT AS taken FROM r
+       (epochs * size + greatest(0, least(size, round(target - epochs * source_size) - start)))::BIGINT AS taken, source FROM r
 """
