@@ -121,14 +121,32 @@ def frequent_ngrams(described: DataFrame, most: int = MAX_FREQUENT) -> np.ndarra
     return out[:, np.argsort(out[0])]
 
 
-def prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The rarest n-grams of a set, one of which any text similar enough has among its own."""
-    size = len(s) - -(-NUMERATOR * len(s) // DENOMINATOR) + 1
-    if often.shape[1]:
-        at = np.minimum(np.searchsorted(often[0], s), often.shape[1] - 1)
-        level = np.where(often[0][at] == s, often[1][at] + _U(1), _U(0))
-        return s[np.lexsort((s, level))[:size]]
-    return s[:size]
+class Often:
+    """The frequent n-grams: sorted hashes with their levels, behind a table of bits that most others fail."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.hashes, self.level = found
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.hashes >> _U(42)).astype(np.int64)] = True
+
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The rarest n-grams of a set, one of which any text similar enough has among its own.
+
+        The order: n-grams that are not frequent by hash, then the frequent by level and hash.
+        """
+        size = prefix_size(len(s))
+        maybe = np.flatnonzero(self.bits[(s >> _U(42)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hashes, s[maybe]), len(self.hashes) - 1)
+            hit = self.hashes[at] == s[maybe]
+            if hit.any():
+                often, level = maybe[hit], self.level[at[hit]]
+                return np.concatenate((np.delete(s, often), s[often[np.lexsort((s[often], level))]]))[:size]
+        return s[:size]
+
+
+def prefix_size(n: int) -> int:
+    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
 def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
@@ -137,7 +155,7 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
     A class is the logarithm of the set's size to the base 4/3; texts that are similar differ by one at most.
     Equal sets have equal keys and give equal postings, which the reader of a part drops.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(often)
+    sent = docs.sparkSession.sparkContext.broadcast(Often(often))  # MAX_FREQUENT n-grams
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
@@ -158,7 +176,7 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
             for text in p["text"]:
                 s = shingles(text, known)
                 if len(s):
-                    toks.append(prefix(s, sent.value))
+                    toks.append(sent.value.prefix(s))
                     keys.append(set_key(s))
                     classes.append(int(np.log(len(s)) / np.log(4 / 3)))
                     size += len(toks[-1])
@@ -172,7 +190,11 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
 
 
 def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
-    """From postings: rows (x, y) of texts to compare, and rows (x, tok) of texts in large buckets, y being null."""
+    """From postings, rows (what, x, y, n, tok, class).
+
+    0: texts x and y share n prefix n-grams in small buckets of this part. 1: y is tied to x, the first of a large
+    bucket. 2: x is in the large bucket of n-gram tok.
+    """
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         t = np.concatenate([np.frombuffer(b, np.uint32) for b in p["toks"]])
@@ -185,25 +207,47 @@ def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
         t, k, c = t[new], k[new], c[new]
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         n = np.diff(np.append(first, len(t)))
+        many, begin = np.repeat(n, n), np.repeat(first, n)
         xs, ys = [], []
+        few = np.flatnonzero((many > 1) & (many <= SMALL))
         for d in range(1, SMALL):  # pairs d apart in a bucket
-            a = np.flatnonzero((np.arange(len(t)) - np.repeat(first, n) + d < np.repeat(n, n)) & (np.repeat(n, n) <= SMALL))
+            a = few[few - begin[few] + d < many[few]]
             a = a[np.abs(c[a] - c[a + d]) <= 1]
             xs.append(k[a])
             ys.append(k[a + d])
-        # A large bucket: all to the first, and its members once more for the second round.
-        large = np.flatnonzero(np.repeat(n, n) > SMALL)
-        hub = np.repeat(first, n)[large]
-        ok = (hub != large) & (np.abs(c[large] - c[hub]) <= 1)
-        xs.append(k[hub[ok]])
-        ys.append(k[large[ok]])
-        pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
-        none = lambda n: pd.array([None] * n, "Int64")
-        once = pd.DataFrame({"x": pairs[0], "y": pd.array(pairs[1], "Int64"), "tok": none(pairs.shape[1]), "class": 0})
-        again = pd.DataFrame({"x": k[large], "y": none(len(large)), "tok": pd.array(t[large].astype(np.int64) * parts_n + int(key[0]), "Int64"), "class": c[large]})
-        return pd.concat([once, again], ignore_index=True)
+        large = np.flatnonzero(many > SMALL)
+        tied = large[(begin[large] != large) & (np.abs(c[large] - c[begin[large]]) <= 1)]
+        x, y, count = _counted(np.concatenate(xs), np.concatenate(ys))
+        hx, hy, _ = _counted(k[begin[tied]], k[tied])
+        row = lambda what, x, y, n, tok, cl: pd.DataFrame({"what": what, "x": x, "y": y, "n": n, "tok": tok, "class": cl})
+        return pd.concat([row(0, x, y, count, 0, 0), row(1, hx, hy, 0, 0, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]), c[large])], ignore_index=True)
 
-    return posts.groupBy("part").applyInPandas(run, "x long, y long, tok long, class int")
+    return posts.groupBy("part").applyInPandas(run, "what int, x long, y long, n long, tok long, class int")
+
+
+def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often they occur."""
+    o = np.lexsort((y, x))
+    x, y = x[o], y[o]
+    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
+    return x[new], y[new], np.diff(np.append(new, len(x)))
+
+
+def promising(pairs: DataFrame, sizes: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(x, y) of `pairs` (x, y, n) that can still be similar: size, and the n-grams their prefixes share.
+
+    With prefixes of p of |x| and q of |y| n-grams and s of them shared, the overlap is at most
+    s + max(|x| - p, |y| - q). `members`, (x, l), adds to n what large buckets may hide: the smaller l of the two.
+    """
+    z = pairs.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("k").alias("y"), F.col("n").alias("ny")), "y")
+    z = z.where(DENOMINATOR * F.least("nx", "ny") >= NUMERATOR * F.greatest("nx", "ny"))
+    hidden = F.lit(0)
+    if members is not None:
+        z = z.join(members.select("x", F.col("l").alias("lx")), "x", "left").join(members.select(F.col("x").alias("y"), F.col("l").alias("ly")), "y", "left")
+        hidden = F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
+    rest = lambda n: F.ceil(NUMERATOR * F.col(n) / F.lit(DENOMINATOR)) - 1
+    need = F.ceil(NUMERATOR * (F.col("nx") + F.col("ny")) / F.lit(NUMERATOR + DENOMINATOR))
+    return z.where(F.col("n") + hidden >= need - F.greatest(rest("nx"), rest("ny"))).select("x", "y")
 
 
 def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
@@ -267,7 +311,7 @@ def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int)
 
 
 def cross_pairs(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs in a large bucket whose texts the first round has not already put together."""
+    """(x, y, n): pairs that share n large buckets and that the first round has not put together."""
     m = large.join(comps.select(F.col("node").alias("x"), "component"), "x", "left").select("tok", "x", "class", F.coalesce("component", "x").alias("comp"))
     open_ = m.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tok")
     m = m.join(open_, "tok", "left_semi")
@@ -275,23 +319,23 @@ def cross_pairs(large: DataFrame, comps: DataFrame) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["comp", "x"])
         x, comp, c = p["x"].to_numpy(np.int64), p["comp"].to_numpy(np.int64), p["class"].to_numpy(np.int64)
+        after = np.searchsorted(comp, comp, "right")
         out = []
-        for i in range(len(x)):
-            a = np.searchsorted(comp, comp[i], "right")
-            js = np.arange(a, len(x))
+        for i in np.flatnonzero(after < len(x)):
+            js = np.arange(after[i], len(x))
             js = js[np.abs(c[js] - c[i]) <= 1]
             out.append(np.stack([np.minimum(x[i], x[js]), np.maximum(x[i], x[js])]))
-        z = np.concatenate(out, axis=1)
+        z = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"x": z[0], "y": z[1]})
 
-    return m.groupBy("tok").applyInPandas(run, "x long, y long").distinct()
+    return m.groupBy("tok").applyInPandas(run, "x long, y long").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 def jaccard_components(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
     1. Equal sets become one text. 2. Prefix n-grams, rare ones first, meet in buckets: small buckets give all
-    their pairs, large ones tie all texts to one. 3. Vertical fragments count the overlaps of the pairs; links
+    their pairs, large ones tie all texts to one; pairs that share too little go. 3. Vertical fragments count the overlaps of the pairs; links
     become components. 4. In large buckets, texts still in different components are compared as well, so no
     link that joins two components is missed. Empty and null texts link with nothing and are their own
     component. Rows with a null id get the smallest id of their component, if any.
@@ -303,12 +347,16 @@ def jaccard_components(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     sizes = mine.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     parts_n = max(8, min(1 << 16, -(-input_bytes(docs) // part_bytes)))
     found = materialise(buckets(postings(docs, often, parts_n), parts_n), "buckets")
-    pairs = found.where("y is not null").select("x", "y").distinct()
-    pairs = materialise(pairs, "candidates")
+    few = found.where("what = 0").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    tied = found.where("what = 1").select("x", "y").distinct().withColumn("n", F.lit(0).cast("long"))
+    members = found.where("what = 2").groupBy("x").agg(F.count("*").alias("l"))
+    pairs = few.unionByName(tied).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    pairs = materialise(promising(pairs, sizes, members), "candidates")
     links = materialise(overlaps(docs, sizes, pairs, pairs.count()), "links")
     comps = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
-    large = found.where("y is null").select("x", "tok", "class")
-    more = materialise(cross_pairs(large, comps).join(pairs, ["x", "y"], "left_anti"), "crossing")
+    cross = cross_pairs(found.where("what = 2").select("x", "tok", "class"), comps)
+    cross = cross.unionByName(few.join(cross.select("x", "y"), ["x", "y"], "left_semi")).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    more = materialise(promising(cross, sizes).join(pairs, ["x", "y"], "left_anti"), "crossing")
     if n := more.count():
         links = links.unionAll(overlaps(docs, sizes, more, n))
         comps = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
