@@ -15,48 +15,59 @@ from .common import fold
 CELLS, ORDERS = 1 << 15, (1, 2, 3)
 #: Penalty for each further language, in units of log(number of words).
 PENALTY = 6.0
+#: Characters that are worked on together.
+BLOCK = 200_000
 
 
-def word_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells, ends of words, words of each text): the letter n-grams of all words, a space on both sides.
+def _letters() -> np.ndarray:
+    """Which code points are letters; made once a process."""
+    global _LETTERS
+    if _LETTERS is None:
+        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _LETTERS
 
-    Letters are lower-cased; all else separates words. A text without letters has no words.
+
+_LETTERS: np.ndarray | None = None
+
+
+def word_cells(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """([(cells, first place of each word) of each order], words of each text): the letter n-grams of all words.
+
+    Letters are lower-cased, all else separates words, and a word has a space on both sides. Every word has
+    n-grams of every order. A text without letters has no words.
     """
-    parts, counts = [], np.zeros(len(texts), np.int64)
     joined = "\0".join(t if t else "" for t in texts).lower()
     a = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds, inverse = np.unique(a, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in kinds], bool)[inverse]
-    start = letter & ~np.concatenate(([False], letter[:-1])) if len(a) else letter
-    first = np.flatnonzero(start)
+    letter = _letters()[a]
+    edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), counts
-    text_of = np.cumsum(a == 0)[first] if len(texts) > 1 else np.zeros(len(first), np.int64)
-    counts = np.bincount(text_of, minlength=len(texts))
-    # Words one after another, each with a space before it, and one after the last: a space is shared by two words.
-    last = np.flatnonzero(letter & ~np.concatenate((letter[1:], [False]))) + 1
+        return [], np.zeros(len(texts), np.int64)
+    counts = np.diff(np.searchsorted(first, np.concatenate(([0], np.flatnonzero(a == 0), [len(a)]))))
+    # Words one after another with one space between them, before the first and after the last.
     n = last - first
-    out = np.full(int(n.sum() + len(n) + 1), 32, np.uint64)
-    begin = np.concatenate(([0], np.cumsum(n + 1)))[:-1] + 1
-    out[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)] = a[letter]
-    word = np.repeat(np.arange(len(n)), n + 1)
-    for k in ORDERS:
-        h = np.zeros(len(out) - k + 1, np.uint64)
-        for i in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + out[i : len(out) - k + 1 + i] + np.uint64(1)
-        h = ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(49)).astype(np.int32)
-        space = out == 32
-        # An n-gram belongs to the word where it begins and must not run over into the next one.
-        inner = np.zeros(len(h), np.int64)
+    begin = np.cumsum(n + 1) - n
+    out = np.full(int(n.sum() + len(n) + 1), 32, np.uint32)
+    inside = np.ones(len(out), bool)
+    inside[begin - 1] = inside[-1] = False
+    out[inside] = a[letter]
+    parts = []
+    x = out.astype(np.uint64) + np.uint64(1)
+    h = x
+    for k in range(1, max(ORDERS) + 1):
+        if k > 1:
+            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[k - 1 :]
+        if k not in ORDERS:
+            continue
+        # Kept are n-grams with no space but at their ends, which are those of one word.
+        ok = inside.copy() if k == 1 else np.ones(len(h), bool)
         for i in range(1, k - 1):
-            inner += space[i : i + len(h)]
-        ok = (inner == 0) & ~((k == 1) & space[: len(h)])
-        at = np.flatnonzero(ok[: len(word)])
-        parts.append((word[at], h[at]))
-    words = np.concatenate([p[0] for p in parts])
-    cells = np.concatenate([p[1] for p in parts])
-    order = np.argsort(words, kind="stable")
-    return cells[order].astype(np.int64), np.cumsum(np.bincount(words, minlength=len(n))), counts
+            ok &= inside[i : i + len(h)]
+        cells = (((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int32)[ok]
+        # Of order k, a word of m letters has m for k = 1, else m + 2 - (k - 1), but one of m = 1 none for k > 3.
+        many = n if k == 1 else np.maximum(n + 3 - k, 0)
+        parts.append((cells, np.cumsum(many) - many))
+    return parts, counts
 
 
 class Mixture:
@@ -73,39 +84,42 @@ class Mixture:
         """Language, its share of the words, and the shares of all languages chosen, for each text.
 
         A word's likelihood is that of its n-grams; the words of a text are draws from the mixture. EM starts
-        with all languages at equal shares; then the smallest share is taken out again and again, and the set
-        of the best log likelihood less PENALTY * log(words) a language is the text's. Ties go to the first
-        language by name. No letters: ("und", 0.0, {}).
+        with all languages at equal shares; then the smallest share is taken out again and again, and of these
+        sets and the best single language, the one of the best log likelihood less PENALTY * log(words) for
+        each language after the first is the text's. Ties go to the smaller set and the
+        first language by name. No letters: ("und", 0.0, {}).
         """
         n_lang = len(self.langs)
         none = ("und", 0.0, {})
         if not n_lang:
             return [none] * len(texts)
-        cells, ends, counts = word_cells(texts)
+        parts, counts = word_cells(texts)
         live = np.flatnonzero(counts)
         if not len(live):
             return [none] * len(texts)
-        starts = np.concatenate(([0], ends[:-1]))
-        like = np.empty((len(ends), n_lang), np.float64)
-        for j in range(n_lang):
-            like[:, j] = np.add.reduceat(self.logp[cells, j].astype(np.float64), starts)
+        like = sum(np.add.reduceat(self.logp[cells], starts, axis=0) for cells, starts in parts)
         first = (np.cumsum(counts) - counts)[live]
         size = counts[live]
         top = like.max(1)
-        like = np.exp(np.maximum(like - top[:, None], -60))
-        base = np.add.reduceat(top, first)
-        best_value = np.full(len(live), -np.inf)
+        log_rest = np.maximum(like - top[:, None], -60)
+        like = np.exp(log_rest)
+        # One language: no EM. A mixture can't beat each word's best language, so many texts are settled by this.
+        single = np.add.reduceat(log_rest, first, axis=0)
         best = np.zeros((len(live), n_lang))
+        best[np.arange(len(live)), single.argmax(1)] = 1
+        best_value = single.max(1).astype(np.float64)
+        cost = PENALTY * np.log(np.maximum(size, 2))
+        todo = np.flatnonzero(best_value < -cost)
         on = np.ones((len(live), n_lang), bool)
-        todo = np.arange(len(live))
-        for left in range(n_lang, 0, -1):
+        for left in range(n_lang, 1, -1):
+            if not len(todo):
+                break
             share, value = self._em(like, first[todo], size[todo], on[todo])
-            value += base[todo] - PENALTY * (left - 1) * np.log(np.maximum(size[todo], 2))
-            # Down to one language each: a set is replaced on a tie, so the smaller set wins.
-            better = value >= best_value[todo]
+            value -= cost[todo] * (left - 1)
+            # A set is replaced only by a better one, so the smaller set wins a tie against later, larger ones.
+            better = value > best_value[todo]
             best_value[todo[better]], best[todo[better]] = value[better], share[better]
-            drop = np.where(on[todo], share, np.inf).argmin(1)
-            on[todo, drop] = False
+            on[todo, np.where(on[todo], share, np.inf).argmin(1)] = False
         out = [none] * len(texts)
         for i, p in zip(live, best, strict=True):
             j = int(p.argmax())
@@ -118,17 +132,18 @@ class Mixture:
         text = np.repeat(np.arange(len(size)), size)
         begin = np.cumsum(size) - size
         own = like if len(at) == len(like) else like[at]
-        share = on / on.sum(1, keepdims=True)
+        share = (on / on.sum(1, keepdims=True)).astype(np.float32)
+        one = np.ones(on.shape[1], np.float32)
         if on.sum(1).max() > 1:
             for _ in range(rounds):
                 joint = own * share[text]
-                total = joint.sum(1)
+                total = joint @ one
                 new = np.add.reduceat(joint / total[:, None], begin, axis=0) / size[:, None]
                 done = np.abs(new - share).max() < 1e-4
                 share = new
                 if done:
                     break
-        return share, np.add.reduceat(np.log((own * share[text]).sum(1)), begin)
+        return share, np.add.reduceat(np.log((own * share[text]) @ one), begin)
 
 
 def train(docs: DataFrame, k: int = 4, out_fold: int = 2) -> Mixture:
@@ -144,13 +159,13 @@ def train(docs: DataFrame, k: int = 4, out_fold: int = 2) -> Mixture:
             for lang, texts in p.groupby("lang")["text"]:
                 every = list(texts)
                 for i in range(0, len(every), 200):
-                    cells, _, _ = word_cells(every[i : i + 200])
-                    sums[lang] = sums.get(lang, 0) + np.bincount(cells, minlength=CELLS)
+                    for cells, _ in word_cells(every[i : i + 200])[0]:
+                        sums[lang] = sums.get(lang, 0) + np.bincount(cells, minlength=CELLS)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": c[at]})
 
-    got = d.mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    got = d.mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     table = np.zeros((len(langs), CELLS))
     table[np.searchsorted(langs, got["lang"]), got["cell"]] = got["n"]
@@ -165,16 +180,18 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
         for p in parts:
             texts = [t or "" for t in p["text"]]
             cuts, total = [0], 0
-            for i, t in enumerate(texts):  # blocks of about 400,000 characters
+            for i, t in enumerate(texts):  # blocks of about BLOCK characters
                 total += len(t)
-                if total > 400_000:
+                if total > BLOCK:
                     cuts.append(i + 1)
                     total = 0
             found = [x for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True) if b > a for x in sent.value.infer(texts[a:b])]
             yield pd.DataFrame({"doc_id": p["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "shares": [x[2] for x in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    # Ids travel as text: pandas has no integers beside nulls.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, lang_pred string, score double, shares map<string,double>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def language(docs: DataFrame) -> DataFrame:
