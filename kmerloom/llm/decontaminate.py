@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, words
+from .common import lower_ascii, materialise, words
 
 WIDTH = 5
 CONTAINMENT = 0.75
@@ -48,7 +48,8 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     """
     i = items.select(F.col("item_id").alias("item"), words(lower_ascii(F.col("text"))).alias("_w"))
     i = i.where(F.size("_w") > 0).withColumn("width", F.least(F.size("_w"), F.lit(width)))
-    d = docs.select("doc_id", words(lower_ascii(F.col("text"))).alias("_w"))
+    cut = lambda x: x.select("doc_id", words(lower_ascii(F.col("text"))).alias("_w"))
+    d = cut(docs)
     found = None
     for k in range(1, width + 1):  # the widths below the last serve items of fewer words only
         of = _hashed(i.where(F.col("width") == k), k, "item", "width")
@@ -57,8 +58,10 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
             continue
         hit = _hashed(d, k, "doc_id").join(sk, "h").select("doc_id", "item").distinct()
         found = hit if found is None else found.unionAll(hit).distinct()
-    ids = found.select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    near = d.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # A table, as the search is the costly part and three steps read what it found.
+    found = materialise(found, "candidates")
+    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    near = cut(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
     out = None
     for k in range(1, width + 1):
         own = i.where(F.col("width") == k)
