@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,6 +89,24 @@ def leaves(x: np.ndarray, model: tuple, spill: float) -> list[list[tuple[int, in
     return out
 
 
+def _meet(leaves_of: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """For arrays of points i and j: whether two have a leaf in common, of the leaves given for each."""
+    wide = max((len(e) for e in leaves_of), default=0)
+    grid = np.full((len(leaves_of), wide), -1, np.int64)
+    for row, e in zip(grid, leaves_of, strict=True):
+        row[: len(e)] = e
+
+    def run(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        step = max(1, 4_000_000 // max(1, wide * wide))
+        for s in range(0, len(i), step):
+            a, b = grid[i[s : s + step]], grid[j[s : s + step]]
+            out[s : s + step] = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any((1, 2))
+        return out
+
+    return run
+
+
 def near_duplicates(df: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `df` (vec_id, embedding, label).
 
@@ -130,7 +148,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, trees: int = TREES, l
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         at = int(p["at"].iloc[0])
         x = np.stack([np.frombuffer(v) for v in p["vec"]])
-        every = [np.frombuffer(e, np.int64) for e in p["every"]]
+        earlier = _meet([(e := np.frombuffer(b, np.int64))[e < at] for b in p["every"]])
         ids, w = p["p"].to_numpy(np.int64), p["w"].to_numpy(np.int64)
         low = p["b"].to_numpy() == p["lo"].iloc[0]
         same = bool(p["lo"].iloc[0] == p["hi"].iloc[0])
@@ -144,8 +162,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, trees: int = TREES, l
             i, j = mine[i], right[j]
             if same:
                 i, j = i[i < j], j[i < j]
-            # Of a pair that shares many leaves, the smallest counts it.
-            ok = np.array([np.intersect1d(every[a], every[b])[0] == at for a, b in zip(i, j, strict=True)], bool)
+            ok = ~earlier(i, j)
             i, j = i[ok], j[ok]
             n += np.bincount(i, w[j], len(p)).astype(np.int64) + np.bincount(j, w[i], len(p)).astype(np.int64)
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
