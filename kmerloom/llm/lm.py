@@ -17,9 +17,9 @@ _U = np.uint64
 #: Base of the count levels; bits for each entry; hash functions; bytes of filter that one pass broadcasts.
 BASE, BITS, HASHES, MAX_FILTER_BYTES = 1.5, 8, 4, 256 << 20
 #: Documents with neighbouring ids form a block, which shares one dictionary of exact word counts.
-BLOCK_IDS, BLOCK_BYTES, SEGMENT_BYTES = 4096, 16 << 20, 8 << 20
-#: Tokens handled together.
-FLUSH = 1_500_000
+BLOCK_IDS, BLOCK_BYTES, SEGMENT_BYTES = 2048, 8 << 20, 8 << 20
+#: Tokens that are counted together, and scored together.
+FLUSH, SCORED = 1_000_000, 400_000
 END, START = _U(0x5BD1E9955BD1E995), _U(0x2545F4914F6CDD1D)
 PAIR, CONTEXT, FANOUT = _U(0x1000193), _U(0x2000289), _U(0x300038F)  # kinds of entries
 
@@ -75,11 +75,14 @@ class Filter:
         self.bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     @staticmethod
-    def places(key: np.ndarray, kind: np.uint64, j: int | np.ndarray, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-        a = mix(key * _U(0x9E3779B97F4A7C15) + kind + np.asarray(j).astype(_U) * _U(0xD6E8FEB86659FD93))
-        b = mix(a + kind) | _U(1)
-        for i in range(HASHES):
-            yield (a + _U(i) * b) % size
+    def hashes(key: np.ndarray, kind: np.uint64, j: int) -> tuple[np.ndarray, np.ndarray]:
+        a = mix(key * _U(0x9E3779B97F4A7C15) + kind + _U(j * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        return a, a * _U(0xC2B2AE3D27D4EB4F) | _U(1)
+
+    @staticmethod
+    def place(h: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+        """A place below `size`, which is below 2**32, by the upper half of the hash."""
+        return (h >> _U(32)) * size >> _U(32)
 
     @classmethod
     def build(cls, entries: list[tuple[np.ndarray, np.uint64, np.ndarray]], bits_per: float) -> bytes:
@@ -90,8 +93,9 @@ class Filter:
         for keys, kind, q in entries:
             j = 1
             while len(keys):
-                for at in cls.places(keys, kind, j, size):
-                    on[at] = True
+                a, b = cls.hashes(keys, kind, j)
+                for i in range(HASHES):
+                    on[cls.place(a + _U(i) * b, size)] = True
                 keys, q = keys[q > j], q[q > j]
                 j += 1
         return np.packbits(on, bitorder="little").tobytes()
@@ -102,16 +106,12 @@ class Filter:
         at = np.flatnonzero(self.size[segment] > 0)
         j = 1
         while len(at) and j < len(TYPICAL):
-            seg = segment[at]
-            size, start = self.size[seg], self.start[seg]
-            alive = np.arange(len(at))
-            k = key[at]
+            a, b = self.hashes(key[at], kind, j)
+            size, start = self.size[segment[at]], self.start[segment[at]]
             for i in range(HASHES):
-                a = mix(k[alive] * _U(0x9E3779B97F4A7C15) + kind + _U(j) * _U(0xD6E8FEB86659FD93))
-                b = mix(a + kind) | _U(1)
-                p = (a + _U(i) * b) % size[alive] + start[alive]
-                alive = alive[(self.bits[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1]
-            at = at[alive]
+                p = self.place(a, size) + start
+                on = np.flatnonzero(self.bits[(p >> _U(3)).view(np.int64)] >> (p & _U(7)).astype(np.uint8) & 1)
+                at, a, b, size, start = at[on], a[on] + b[on], b[on], size[on], start[on]
             q[at] = j
             j += 1
         return q
@@ -353,7 +353,7 @@ def _score(both: DataFrame, scorer: Scorer, mine: np.ndarray, first: bool) -> Da
                 a[-1] = END
                 held.append((d, xxhash.xxh64_intdigest(raw) - (1 << 63), a))
                 size += len(a)
-                if size > FLUSH:
+                if size > SCORED:
                     yield flush()
                     held, size = [], 0
         if held:
