@@ -16,8 +16,8 @@ from kmerloom.llm.common import materialise, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled ones outside fold 0."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), name="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

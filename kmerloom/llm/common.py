@@ -67,10 +67,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, read without running a job; sizes partitions, never results."""
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """Size of the input, for choosing numbers of partitions (never results).
+
+    Catalyst's estimate, which takes no job; where it has none, or one inflated by joins, the column is measured.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    if size < 1 << 44:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

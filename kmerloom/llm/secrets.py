@@ -123,8 +123,11 @@ def redact(docs: DataFrame, wide: int = WIDE_OWNERS, mark: str = "[secret]") ->
     Overlapping spans are cut once, from the first start to the last end.
     """
     cols = docs.columns
-    rest = tuple(c for c in cols if c not in ("doc_id", "text"))
-    j = judged(scan(docs, rest), F.concat_ws("/", F.coalesce("source", F.lit("\0")), F.coalesce("lang", F.lit("\0"))), F.col("source"), wide)
+    # Other columns travel under names of their own, as theirs may clash with those in here.
+    rest = {c: f"_keep_{c}" for c in cols if c not in ("doc_id", "text")}
+    lean = docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in rest.items()])
+    source, lang = (F.coalesce(F.col(rest[c]), F.lit("\0")) for c in ("source", "lang"))
+    j = judged(scan(lean, tuple(rest.values())), F.concat_ws("/", source, lang), source, wide)
     spans = "array_sort(transform(live, x -> named_struct('start', x.start, 'stop', x.stop)))"
     cut = f"""aggregate({spans}, named_struct('at', 0, 'out', cast('' as string)),
       (a, x) -> case when x.start >= a.at
@@ -132,7 +135,7 @@ def redact(docs: DataFrame, wide: int = WIDE_OWNERS, mark: str = "[secret]") ->
         else named_struct('at', greatest(a.at, x.stop), 'out', a.out) end,
       a -> concat(a.out, substring(_text, a.at + 1)))"""
     text = F.expr(f"case when _null then null when size(live) = 0 then _text else {cut} end")
-    out = j.withColumn("text", text)
+    out = {c: F.col(rest[c]) if c in rest else F.col(c) for c in cols} | {"text": text}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("live") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+        out["n_chars"] = F.when(F.size("live") > 0, F.length(text).cast("long")).otherwise(F.col(rest["n_chars"]))
+    return j.select(*[c.alias(name) for name, c in out.items()])

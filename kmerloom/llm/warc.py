@@ -244,7 +244,7 @@ def archive_round_trip(pages: DataFrame, root: str | None = None, least: int = 0
     spark = pages.sparkSession
     root = root or f"{shared_dir(spark).rstrip('/')}/kmerloom/archive-{uuid.uuid4().hex}"
     captures = write_archives(plan_records(pages, least), root)
-    n = max(4, min(MAX_SHARDS, input_bytes(pages) // (32 << 20)))
+    n = max(4, min(MAX_SHARDS, input_bytes(pages, "html") // (32 << 20)))
     shards = write_index(captures, root, n)
     wanted = captures.select("key", F.coalesce("page", F.lit("")).alias("page")).distinct()
     back = read_back(wanted, root, shards, n)
