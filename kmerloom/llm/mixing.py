@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import words
 
 #: Documents in one range of a source, on average: what one running sum has to sort.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -18,7 +18,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Weights go to the sources by code point, null last, and repeat. The targets share `share` of all sizes by
     weight; none exceeds `most` times its source, and what is cut is shared among the others by weight until none
     is above: target = min(most * size, level * weight) at the one level that spends the budget. Sorted by
-    size / weight, the capped sources are a prefix, so two running sums find it. One row for each source: the
+    size / weight, the capped sources are a prefix, so two running sums find it: the level is that of the first
+    source that is not capped, and what the same sums give for those after it is less. One row for each source: the
     windows here see sources, not documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -32,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         (F.sum("weight").over(total) - F.coalesce(F.sum("weight").over(by), F.lit(0.0))).alias("open"),
     )
     s = s.withColumn("full", F.col("cap") * F.col("open") <= F.col("weight") * F.col("left"))
-    level = F.min(F.when(~F.col("full"), F.col("left") / F.col("open"))).over(total)
+    level = F.max(F.when(~F.col("full"), F.col("left") / F.col("open"))).over(total)
     return s.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight"))).alias("target"))
 
 
@@ -91,7 +92,7 @@ p AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVE
              (sum(weight) OVER ()) - coalesce(sum(weight) OVER o, 0) AS open
       FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, cap * open <= weight * rest AS full_ FROM p),
-t AS (SELECT source, source_size, CASE WHEN full_ THEN cap ELSE least(cap, weight * min(CASE WHEN NOT full_ THEN rest / open END) OVER ()) END AS target FROM f),
+t AS (SELECT source, source_size, CASE WHEN full_ THEN cap ELSE least(cap, weight * max(CASE WHEN NOT full_ THEN rest / open END) OVER ()) END AS target FROM f),
 r AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) - size AS start,
              CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

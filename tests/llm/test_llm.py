@@ -400,6 +400,18 @@ def test_kneser_ney_adds_up_to_one(spark):
 # --- 9 mixing ---------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("sizes", [[3, 9, 4, 4, 8, 7, 2, 30, 1, 5, 6, 6], [100, 1, 1], [0, 0, 5], [7], [10] * 20])
+def test_targets(spark, sizes):
+    s = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    low, high = 0.0, 1e9  # the level, by halving
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, mid * w) for n, w in zip(sizes, weight, strict=True)) < 1.5 * sum(sizes) else (low, mid)
+    got = [r["target"] for r in mixing.source_targets(s).orderBy("source").collect()]
+    assert got == pytest.approx([min(2 * n, low * w) for n, w in zip(sizes, weight, strict=True)], rel=1e-6, abs=1e-6)
+
+
 def test_mixing(docs, rows, no_docs, spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
     got = mixing.mix_documents(docs).collect()
