@@ -21,11 +21,13 @@ FRAGMENTS = 4
 MAX_FREQUENT = 500_000
 #: Up to so many texts that share a prefix n-gram are paired at once; more are first tied to one of them.
 SMALL = 16
+#: Bits of the sketch by which unlike texts of large buckets are told apart.
+BITS = 1024
 #: Partners of one text in one cell of the counting.
 HUB = 4096
 
 _U = np.uint64
-_SETS = "doc_id string, n long, k long, frequent binary"
+_SETS = "doc_id string, n long, k long, sketch binary, frequent binary"
 
 
 class Words(dict):
@@ -65,8 +67,16 @@ def set_key(s: np.ndarray) -> int:
     return k - (k >> 63 << 64)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """BITS bits, each the parity of how many n-grams of the set fall to it.
+
+    The sets of two texts differ in at least as many n-grams as their bits differ.
+    """
+    return np.packbits(np.bincount(((s >> _U(10)) % _U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, k) for each row, and rows of packed n-grams that recur within a task's block of tokens."""
+    """A row (doc_id, n, k, sketch) for each row, and rows of packed n-grams that recur within a task's block of tokens."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, size = Words(), [], 0
@@ -74,20 +84,21 @@ def describe(docs: DataFrame) -> DataFrame:
         def frequent() -> pd.DataFrame:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c >= 3], c[c >= 3]
-            return pd.DataFrame({"doc_id": [None], "n": [-1], "k": [0], "frequent": [np.concatenate((u, c.astype(_U))).tobytes()]})
+            return pd.DataFrame({"doc_id": [None], "n": [-1], "k": [0], "sketch": [None], "frequent": [np.concatenate((u, c.astype(_U))).tobytes()]})
 
         for p in parts:
-            n, k = [], []
+            n, k, sketch = [], [], []
             for t in p["text"]:
                 s = shingles(t, known)
                 n.append(len(s))
                 k.append(set_key(s))
+                sketch.append(parity(s))
                 held.append(s)
                 size += len(s)
                 if size > 3_000_000:
                     yield frequent()
                     held, size = [], 0
-            yield pd.DataFrame({"doc_id": p["doc_id"], "n": n, "k": k, "frequent": None})
+            yield pd.DataFrame({"doc_id": p["doc_id"], "n": n, "k": k, "sketch": sketch, "frequent": None})
         if held:
             yield frequent()
 
@@ -116,8 +127,8 @@ def frequent_ngrams(described: DataFrame, most: int = MAX_FREQUENT) -> np.ndarra
         if total > most:
             break
         level = row["c"]
-    got = c.where(F.col("c") >= level).toPandas()
-    out = np.stack([got["h"].to_numpy(np.int64).view(_U), got["c"].to_numpy(np.int64).view(_U)]) if len(got) else np.zeros((2, 0), _U)
+    got = c.where(F.col("c") >= level).select("h", F.col("c").cast("long").alias("c")).toArrow()
+    out = np.stack([got[x].to_numpy().view(_U) for x in ("h", "c")])
     return out[:, np.argsort(out[0])]
 
 
@@ -192,8 +203,8 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
 def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
     """From postings, rows (what, x, y, n, tok, class).
 
-    0: texts x and y share n prefix n-grams in small buckets of this part. 1: y is tied to x, the first of a large
-    bucket. 2: x is in the large bucket of n-gram tok.
+    0: texts x and y share n prefix n-grams in small buckets of this part. 1: y is tied to x, the first of n large
+    buckets. 2: x is in the large bucket of n-gram tok.
     """
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -218,9 +229,9 @@ def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
         large = np.flatnonzero(many > SMALL)
         tied = large[(begin[large] != large) & (np.abs(c[large] - c[begin[large]]) <= 1)]
         x, y, count = _counted(np.concatenate(xs), np.concatenate(ys))
-        hx, hy, _ = _counted(k[begin[tied]], k[tied])
+        hx, hy, times = _counted(k[begin[tied]], k[tied])
         row = lambda what, x, y, n, tok, cl: pd.DataFrame({"what": what, "x": x, "y": y, "n": n, "tok": tok, "class": cl})
-        return pd.concat([row(0, x, y, count, 0, 0), row(1, hx, hy, 0, 0, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]), c[large])], ignore_index=True)
+        return pd.concat([row(0, x, y, count, 0, 0), row(1, hx, hy, times, 0, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]), c[large])], ignore_index=True)
 
     return posts.groupBy("part").applyInPandas(run, "what int, x long, y long, n long, tok long, class int")
 
@@ -234,7 +245,7 @@ def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def promising(pairs: DataFrame, sizes: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """(x, y) of `pairs` (x, y, n) that can still be similar: size, and the n-grams their prefixes share.
+    """Those of `pairs` (x, y, n) that can still be similar: size, and the n-grams their prefixes share.
 
     With prefixes of p of |x| and q of |y| n-grams and s of them shared, the overlap is at most
     s + max(|x| - p, |y| - q). `members`, (x, l), adds to n what large buckets may hide: the smaller l of the two.
@@ -247,7 +258,7 @@ def promising(pairs: DataFrame, sizes: DataFrame, members: DataFrame | None = No
         hidden = F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
     rest = lambda n: F.ceil(NUMERATOR * F.col(n) / F.lit(DENOMINATOR)) - 1
     need = F.ceil(NUMERATOR * (F.col("nx") + F.col("ny")) / F.lit(NUMERATOR + DENOMINATOR))
-    return z.where(F.col("n") + hidden >= need - F.greatest(rest("nx"), rest("ny"))).select("x", "y")
+    return z.where(F.col("n") + hidden >= need - F.greatest(rest("nx"), rest("ny"))).select("x", "y", "n")
 
 
 def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
@@ -310,20 +321,27 @@ def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int)
     return total.where(DENOMINATOR * F.col("c") >= NUMERATOR * (F.col("both") - F.col("c"))).select("x", "y")
 
 
-def cross_pairs(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """(x, y, n): pairs that share n large buckets and that the first round has not put together."""
-    m = large.join(comps.select(F.col("node").alias("x"), "component"), "x", "left").select("tok", "x", "class", F.coalesce("component", "x").alias("comp"))
+def cross_pairs(large: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(x, y, n): pairs that share n large buckets, in components apart, and may be similar by size and sketch.
+
+    At similarity t two sets differ in (1 - t) / (1 + t) of their sizes' sum at most, and at least in the bits in
+    which their sketches differ.
+    """
+    m = large.join(comps.select(F.col("node").alias("x"), "component"), "x", "left").select("tok", "x", F.coalesce("component", "x").alias("comp"))
     open_ = m.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tok")
-    m = m.join(open_, "tok", "left_semi")
+    m = m.join(open_, "tok", "left_semi").join(sizes.select(F.col("k").alias("x"), F.col("n").alias("size"), "sketch"), "x")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["comp", "x"])
-        x, comp, c = p["x"].to_numpy(np.int64), p["comp"].to_numpy(np.int64), p["class"].to_numpy(np.int64)
+        x, comp, n = (p[c].to_numpy(np.int64) for c in ("x", "comp", "size"))
+        bits = np.stack([np.frombuffer(b, _U) for b in p["sketch"]])
         after = np.searchsorted(comp, comp, "right")
         out = []
         for i in np.flatnonzero(after < len(x)):
             js = np.arange(after[i], len(x))
-            js = js[np.abs(c[js] - c[i]) <= 1]
+            js = js[(DENOMINATOR * np.minimum(n[js], n[i]) >= NUMERATOR * np.maximum(n[js], n[i]))]
+            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1)
+            js = js[apart * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (n[js] + n[i])]
             out.append(np.stack([np.minimum(x[i], x[js]), np.maximum(x[i], x[js])]))
         z = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"x": z[0], "y": z[1]})
@@ -335,31 +353,39 @@ def jaccard_components(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
     1. Equal sets become one text. 2. Prefix n-grams, rare ones first, meet in buckets: small buckets give all
-    their pairs, large ones tie all texts to one; pairs that share too little go. 3. Vertical fragments count the overlaps of the pairs; links
-    become components. 4. In large buckets, texts still in different components are compared as well, so no
-    link that joins two components is missed. Empty and null texts link with nothing and are their own
+    their pairs, large ones tie all texts to one; pairs that share too little go. 3. Vertical fragments count the overlaps of
+    each text and the one before it that shares most with it; links become components. 4. All other pairs of
+    buckets, small and large, whose texts are still in different components are counted as well, so no link that
+    joins two components is missed. Empty and null texts link with nothing and are their own
     component. Rows with a null id get the smallest id of their component, if any.
     """
     # Texts are read from `docs` three times or four; it should be a table.
     told = materialise(describe(docs), "sets")
     often = frequent_ngrams(told)
     mine = told.where("n >= 0").select("doc_id", "n", "k")
-    sizes = mine.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    sizes = told.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
     parts_n = max(8, min(1 << 16, -(-input_bytes(docs) // part_bytes)))
     found = materialise(buckets(postings(docs, often, parts_n), parts_n), "buckets")
+    sizes = materialise(sizes, "sizes")
     few = found.where("what = 0").groupBy("x", "y").agg(F.sum("n").alias("n"))
-    tied = found.where("what = 1").select("x", "y").distinct().withColumn("n", F.lit(0).cast("long"))
+    tied = found.where("what = 1").groupBy("x", "y").agg(F.sum("n").alias("n"))
     members = found.where("what = 2").groupBy("x").agg(F.count("*").alias("l"))
-    pairs = few.unionByName(tied).groupBy("x", "y").agg(F.sum("n").alias("n"))
-    pairs = materialise(promising(pairs, sizes, members), "candidates")
-    links = materialise(overlaps(docs, sizes, pairs, pairs.count()), "links")
-    comps = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
-    cross = cross_pairs(found.where("what = 2").select("x", "tok", "class"), comps)
+    # A text and the one before it with which it shares most: no more pairs than texts.
+    pairs = materialise(promising(few.unionByName(tied).groupBy("x", "y").agg(F.sum("n").alias("n")), sizes, members), "candidates")
+    first = materialise(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y"), "nearest")
+    links = materialise(overlaps(docs, sizes, first, first.count()), "links")
+    joined = lambda e: materialise(components(e.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+    comps = joined(links)
+    # All others, as far as they are not in one component by now.
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
+    cross = cross_pairs(found.where("what = 2").select("x", "tok"), comps, sizes)
     cross = cross.unionByName(few.join(cross.select("x", "y"), ["x", "y"], "left_semi")).groupBy("x", "y").agg(F.sum("n").alias("n"))
-    more = materialise(promising(cross, sizes).join(pairs, ["x", "y"], "left_anti"), "crossing")
+    more = apart.unionByName(promising(cross, sizes).select("x", "y")).distinct().join(first, ["x", "y"], "left_anti")
+    more = materialise(more, "apart")
     if n := more.count():
         links = links.unionAll(overlaps(docs, sizes, more, n))
-        comps = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+        comps = joined(links)
     at = mine.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "k")))
     low = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("low"))
     out = at.join(low, "component", "left")
