@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import fold
 
 #: Bounds of the fit, which happens on the driver: labelled rows, and characters of all their texts.
-MAX_ROWS, MAX_CHARS = 6_000, 16_000_000
+MAX_ROWS, MAX_CHARS = 3_000, 9_000_000
 
 
 @dataclass
@@ -125,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 5, max_rows: int = MAX_RO
     return fit(texts, y, **how)
 
 
-def score(docs: DataFrame, model: CharModel, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `keep`, score of each row's whole text; a null text scores as the bias does, an empty one as a space."""
+def score(docs: DataFrame, model: CharModel, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """doc_id, `keep`, and the score, as column `name`, of each row's whole text; a null text scores as the bias does, an empty one as a space."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # 4 bytes times 2**bits
 
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: CharModel, keep: tuple[str, ...] = ()) -> Data
             yield pd.Series([m.score(t) for t in s], dtype="float64")
 
     udf = F.pandas_udf(run, "double")
-    return docs.select("doc_id", *keep, udf(F.col("text")).alias("score"))
+    return docs.select("doc_id", *keep, udf(F.col("text")).alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
