@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import seq
 from .operators import classify, compactors, fdr, lookup, pairs, satc, stats_group, stats_native, supervised
 from .plans import config, pipeline, postprocess
+from .session import scratch
 from .sources import reads as R
 from .sources import sinks, tables
 
@@ -52,12 +52,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/kmerloom/{name}-{uuid.uuid4().hex}"
-
-
 class Data:
     """The bridges from the tables to this engine's own."""
 

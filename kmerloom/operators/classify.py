@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import BASES, hamming, has_run
+from ..session import written
 
 #: Columns that classification drops from an anchor table.
 DROPPED = ("pval_opt", "pval_sample_spectral_sum", "pval_base", "avg_no_homopolymer_targets", "avg_hamming_distance_max_target", "avg_hamming_distance_all_pairs", "avg_edit_distance_max_target", "avg_edit_distance_all_pairs")
@@ -126,12 +127,14 @@ def shifted_anchors(anchors: DataFrame, most: int = 5) -> DataFrame:
 def anchor_clusters(anchors: DataFrame, most: int = 5) -> DataFrame:
     """Anchor, cluster: the smallest anchor reached over shifted_anchors() links, by repeated minimum."""
     e = shifted_anchors(anchors, most)
-    both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    c = anchors.select("anchor").distinct().withColumn("cluster", F.col("anchor"))
+    both = written(e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "shifted")
+    c = written(anchors.select("anchor").distinct().withColumn("cluster", F.col("anchor")), "clusters")
     while True:
         low = both.join(c.select(F.col("anchor").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("anchor")).agg(F.min("cluster").alias("low"))
-        n = c.join(low, "anchor", "left").select("anchor", F.least("cluster", F.coalesce("low", "cluster")).alias("new"), F.col("cluster").alias("old")).persist()
-        moved = n.where("new <> old").count()
-        c = n.select("anchor", F.col("new").alias("cluster"))
-        if not moved:
+        n = c.join(low, "anchor", "left").select("anchor", F.least("cluster", F.coalesce("low", "cluster")).alias("new"), F.col("cluster").alias("old"))
+        # A cluster's own anchor may have moved on: follow it, which halves the way each round.
+        up = n.select(F.col("anchor").alias("new"), F.col("new").alias("up"))
+        n = written(n.join(up, "new", "left").select("anchor", F.least("new", F.coalesce("up", "new")).alias("cluster"), "old"), "clusters")
+        c = n.select("anchor", "cluster")
+        if n.where("cluster <> old").isEmpty():
             return c
