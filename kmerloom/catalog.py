@@ -677,7 +677,7 @@ def _(d: Data) -> DataFrame:
     return stats_native.finite_p(d.contrasts).select("anchor", r6("pval").alias("pval"))
 
 
-@query("p5_old", _CF + ", y AS (SELECT *, coalesce(cn * cn / (nullif(cc, 0) * m), 0) AS g FROM z) SELECT anchor, round(CASE WHEN flat_c OR flat_f THEN 1.0 ELSE least(1.0, 2 * exp(-2 * (1 - CASE WHEN g > 0 THEN 1 / (1 + 1 / sqrt(g)) ELSE 0 END) * s * s / cc) * CASE WHEN g > 0 THEN 2 ELSE 1 END) END, 6) AS pval_base_old FROM y")
+@query("p5_old", _CF + ", y AS (SELECT *, coalesce(round(cn, 9) ** 2 / (nullif(cc, 0) * m), 0) AS g FROM z) SELECT anchor, round(CASE WHEN flat_c OR flat_f THEN 1.0 ELSE least(1.0, 2 * exp(-2 * (1 - CASE WHEN g > 0 THEN 1 / (1 + 1 / sqrt(g)) ELSE 0 END) * s * s / cc) * CASE WHEN g > 0 THEN 2 ELSE 1 END) END, 6) AS pval_base_old FROM y")
 def _(d: Data) -> DataFrame:
     return stats_native.old_p(d.contrasts).select("anchor", r6("pval_base_old").alias("pval_base_old"))
 

@@ -115,7 +115,8 @@ def finite_p(x: DataFrame, name: str = "pval") -> DataFrame:
 
 def old_p(x: DataFrame, name: str = "pval_base_old") -> DataFrame:
     """P5: the older bound, which splits its budget by gamma."""
-    gamma = F.pow(F.col("cn"), 2) / (F.col("cc") * F.col("m"))
+    # Rounded, as sums that cancel leave noise and the bound doubles for any gamma above 0.
+    gamma = F.pow(F.round("cn", 9), 2) / (F.col("cc") * F.col("m"))
     xi = F.when(gamma > 0, 1 / (1 + 1 / F.sqrt(gamma))).otherwise(F.lit(0.0))
     p = 2 * F.exp(-2 * (1 - xi) * F.col("s") * F.col("s") / F.col("cc")) * F.when(gamma > 0, 2).otherwise(1)
     return x.withColumn(name, F.when(F.col("flat_c") | F.col("flat_f"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), p)))
