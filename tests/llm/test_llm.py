@@ -397,6 +397,59 @@ def test_kneser_ney_adds_up_to_one(spark):
         assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
 
 
+def kneser_ney(texts):
+    """log10 p(c | a, b) of the model of all `texts`, by dictionaries."""
+    t3 = Counter()
+    for t in texts:
+        w = ["<", "<", *t.split(), ">"]
+        t3.update(zip(w, w[1:], w[2:], strict=False))
+    orders = [Counter({(): 1})] + [None] * 3
+    orders[3] = t3
+    orders[2] = Counter(g[1:] for g in t3)
+    orders[1] = Counter(g[1:] for g in orders[2])
+    model = []
+    for counts in orders[1:]:
+        n = [sum(v == k for v in counts.values()) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
+        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
+        total, mass = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            mass[g[:-1]] += d[min(v, 3) - 1]
+        model.append((counts, d, total, mass))
+
+    def p(g, at=3):
+        if not at:
+            return 1 / (len(orders[1]) + 1)
+        counts, d, total, mass = model[at - 1]
+        lower = p(g[1:], at - 1)
+        if g[:-1] not in total:
+            return lower
+        v = counts.get(g, 0)
+        return (v - d[min(v, 3) - 1] if v else 0) / total[g[:-1]] + mass[g[:-1]] / total[g[:-1]] * lower
+
+    return lambda a, b, c: math.log10(p((a, b, c)))
+
+
+@pytest.mark.parametrize("hot", [0, 7])
+def test_perplexity_counts_all_trusted_text(spark, monkeypatch, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
+    rng = random.Random(12)
+    texts = [(i, f"{prose(rng, 6, STOCK[:9])} w{i % 2500} x{i % 2300}", "en", "s") for i in range(4600)]
+    seen = [texts[i] for i in range(0, 4600, 20)] + [(9000, "never seen ba", "fr", "s"), (9001, "", None, "s"), (9002, None, "en", "s"), (9001, "ba", None, "s"), (None, "ba ba", "fr", "s")]
+    m = quality.train(make_docs(spark, texts), spark.createDataFrame([(i,) for i in range(4600)], "doc_id long"))
+    got = quality.score(make_docs(spark, seen), m, ("lang",)).collect()
+    logp = kneser_ney([t for _, t, *_ in texts])
+    want = []
+    for i, t, lang, _ in seen:
+        w = ["<", "<", *(t or "").split(), ">"]
+        want.append((str(i), str(lang), len(w) - 2, sum(logp(*g) for g in zip(w, w[1:], w[2:], strict=False))))
+    got = sorted((str(r["doc_id"]), str(r["lang"]), r["n_tokens"], r["log10_prob"]) for r in got)
+    want.sort()
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-6)
+
+
 # --- 9 mixing ---------------------------------------------------------------------------------------------------
 
 
