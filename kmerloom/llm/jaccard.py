@@ -19,8 +19,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 FRAGMENTS = 4
 #: N-grams that are ordered last for being frequent: this many at most are sent to all tasks, 8 bytes each.
 MAX_FREQUENT = 500_000
-#: Up to so many texts that share a prefix n-gram are paired at once; more are first tied to one of them.
+#: Up to so many texts that share a prefix n-gram are paired at once; more are paired block against block.
 SMALL = 16
+#: Texts in one block of a large bucket.
+CROWD = 1024
 #: Bits of the sketch by which unlike texts of large buckets are told apart.
 BITS = 1024
 #: Partners of one text in one cell of the counting.
@@ -203,8 +205,7 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
 def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
     """From postings, rows (what, x, y, n, tok, class).
 
-    0: texts x and y share n prefix n-grams in small buckets of this part. 1: y is tied to x, the first of n large
-    buckets. 2: x is in the large bucket of n-gram tok.
+    0: texts x and y share n prefix n-grams in small buckets of this part. 2: x is in the large bucket of n-gram tok.
     """
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -227,11 +228,9 @@ def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
             xs.append(k[a])
             ys.append(k[a + d])
         large = np.flatnonzero(many > SMALL)
-        tied = large[(begin[large] != large) & (np.abs(c[large] - c[begin[large]]) <= 1)]
         x, y, count = _counted(np.concatenate(xs), np.concatenate(ys))
-        hx, hy, times = _counted(k[begin[tied]], k[tied])
         row = lambda what, x, y, n, tok, cl: pd.DataFrame({"what": what, "x": x, "y": y, "n": n, "tok": tok, "class": cl})
-        return pd.concat([row(0, x, y, count, 0, 0), row(1, hx, hy, times, 0, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]), c[large])], ignore_index=True)
+        return pd.concat([row(0, x, y, count, 0, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]), c[large])], ignore_index=True)
 
     return posts.groupBy("part").applyInPandas(run, "what int, x long, y long, n long, tok long, class int")
 
@@ -244,21 +243,17 @@ def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return x[new], y[new], np.diff(np.append(new, len(x)))
 
 
-def promising(pairs: DataFrame, sizes: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def promising(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Those of `pairs` (x, y, n) that can still be similar: size, and the n-grams their prefixes share.
 
     With prefixes of p of |x| and q of |y| n-grams and s of them shared, the overlap is at most
-    s + max(|x| - p, |y| - q). `members`, (x, l), adds to n what large buckets may hide: the smaller l of the two.
+    s + max(|x| - p, |y| - q).
     """
     z = pairs.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("k").alias("y"), F.col("n").alias("ny")), "y")
     z = z.where(DENOMINATOR * F.least("nx", "ny") >= NUMERATOR * F.greatest("nx", "ny"))
-    hidden = F.lit(0)
-    if members is not None:
-        z = z.join(members.select("x", F.col("l").alias("lx")), "x", "left").join(members.select(F.col("x").alias("y"), F.col("l").alias("ly")), "y", "left")
-        hidden = F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
     rest = lambda n: F.ceil(NUMERATOR * F.col(n) / F.lit(DENOMINATOR)) - 1
     need = F.ceil(NUMERATOR * (F.col("nx") + F.col("ny")) / F.lit(NUMERATOR + DENOMINATOR))
-    return z.where(F.col("n") + hidden >= need - F.greatest(rest("nx"), rest("ny"))).select("x", "y", "n")
+    return z.where(F.col("n") >= need - F.greatest(rest("nx"), rest("ny"))).select("x", "y", "n")
 
 
 def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
@@ -321,21 +316,24 @@ def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int)
     return total.where(DENOMINATOR * F.col("c") >= NUMERATOR * (F.col("both") - F.col("c"))).select("x", "y")
 
 
-def cross_pairs(large: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(x, y, n): pairs that share n large buckets, in components apart, and may be similar by size and sketch.
+def crowd_pairs(large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(x, y, n): all pairs that share n large buckets and may be similar by size and sketch, x the smaller.
 
     At similarity t two sets differ in (1 - t) / (1 + t) of their sizes' sum at most, and at least in the bits in
-    which their sketches differ.
+    which their sketches differ. A bucket is dealt into blocks, and each two blocks meet in a group.
     """
-    m = large.join(comps.select(F.col("node").alias("x"), "component"), "x", "left").select("tok", "x", F.coalesce("component", "x").alias("comp"))
-    open_ = m.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("tok")
-    m = m.join(open_, "tok", "left_semi").join(sizes.select(F.col("k").alias("x"), F.col("n").alias("size"), "sketch"), "x")
+    many = large.groupBy("tok").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("_of"))
+    m = large.join(many, "tok").withColumn("mine", F.pmod(F.xxhash64("x", "tok"), F.col("_of")).cast("int"))
+    m = m.select("tok", "x", "mine", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("other"))
+    m = m.select("tok", "x", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    m = m.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("size"), "sketch"), "x")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["comp", "x"])
-        x, comp, n = (p[c].to_numpy(np.int64) for c in ("x", "comp", "size"))
+        p = p.sort_values(["mine", "x"])
+        x, block, n = (p[c].to_numpy(np.int64) for c in ("x", "mine", "size"))
         bits = np.stack([np.frombuffer(b, _U) for b in p["sketch"]])
-        after = np.searchsorted(comp, comp, "right")
+        two = p["i"].iloc[0] != p["j"].iloc[0]
+        after = np.searchsorted(block, block, "right") if two else np.arange(1, len(x) + 1)
         out = []
         for i in np.flatnonzero(after < len(x)):
             js = np.arange(after[i], len(x))
@@ -346,50 +344,55 @@ def cross_pairs(large: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFra
         z = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"x": z[0], "y": z[1]})
 
-    return m.groupBy("tok").applyInPandas(run, "x long, y long").groupBy("x", "y").agg(F.count("*").alias("n"))
+    return m.groupBy("tok", "i", "j").applyInPandas(run, "x long, y long").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
-def jaccard_components(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
-
-    1. Equal sets become one text. 2. Prefix n-grams, rare ones first, meet in buckets: small buckets give all
-    their pairs, large ones tie all texts to one; pairs that share too little go. 3. Vertical fragments count the overlaps of
-    each text and the one before it that shares most with it; links become components. 4. All other pairs of
-    buckets, small and large, whose texts are still in different components are counted as well, so no link that
-    joins two components is missed. Empty and null texts link with nothing and are their own
-    component. Rows with a null id get the smallest id of their component, if any.
-    """
-    # Texts are read from `docs` three times or four; it should be a table.
+def _linked(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, k) of every row, and every link (x, y) between different texts, by key of the set."""
+    # Texts are read from `docs` three times; it should be a table.
     told = materialise(describe(docs), "sets")
     often = frequent_ngrams(told)
-    mine = told.where("n >= 0").select("doc_id", "n", "k")
     sizes = told.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
     parts_n = max(8, min(1 << 16, -(-input_bytes(docs) // part_bytes)))
     found = materialise(buckets(postings(docs, often, parts_n), parts_n), "buckets")
     sizes = materialise(sizes, "sizes")
-    few = found.where("what = 0").groupBy("x", "y").agg(F.sum("n").alias("n"))
-    tied = found.where("what = 1").groupBy("x", "y").agg(F.sum("n").alias("n"))
-    members = found.where("what = 2").groupBy("x").agg(F.count("*").alias("l"))
-    # A text and the one before it with which it shares most: no more pairs than texts.
-    pairs = materialise(promising(few.unionByName(tied).groupBy("x", "y").agg(F.sum("n").alias("n")), sizes, members), "candidates")
-    first = materialise(pairs.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select("x", "y"), "nearest")
-    links = materialise(overlaps(docs, sizes, first, first.count()), "links")
-    joined = lambda e: materialise(components(e.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
-    comps = joined(links)
-    # All others, as far as they are not in one component by now.
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
-    cross = cross_pairs(found.where("what = 2").select("x", "tok"), comps, sizes)
-    cross = cross.unionByName(few.join(cross.select("x", "y"), ["x", "y"], "left_semi")).groupBy("x", "y").agg(F.sum("n").alias("n"))
-    more = apart.unionByName(promising(cross, sizes).select("x", "y")).distinct().join(first, ["x", "y"], "left_anti")
-    more = materialise(more, "apart")
-    if n := more.count():
-        links = links.unionAll(overlaps(docs, sizes, more, n))
-        comps = joined(links)
-    at = mine.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "k")))
+    few = found.where("what = 0").select("x", "y", "n")
+    crowd = crowd_pairs(found.where("what = 2").select("x", "tok"), sizes)
+    pairs = materialise(promising(few.unionByName(crowd).groupBy("x", "y").agg(F.sum("n").alias("n")), sizes), "candidates")
+    return told.where("n >= 0").select("doc_id", "n", "k"), materialise(overlaps(docs, sizes, pairs.select("x", "y"), pairs.count()), "links")
+
+
+def jaccard_links(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b): every link between different texts that have ids, each text by the smallest id of its copies."""
+    rows, links = _linked(docs, part_bytes)
+    of = materialise(rows.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep")), "reps")
+    z = links.join(of.select(F.col("k").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("k").alias("y"), F.col("rep").alias("b")), "y")
+    return z.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def jaccard_components(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of `docs`.
+
+    1. Equal sets become one text. 2. Prefix n-grams, rare ones first, meet in buckets: small buckets give all
+    their pairs, large ones theirs block against block; pairs that share too little go. 3. Vertical fragments count the
+    overlaps of all pairs that are left, so no link is missed. 4. Links become components. n_links is the number of other
+    rows that the row is linked with, copies of its own text among them. Empty and null texts link with nothing
+    and are their own component. Rows with a null id get the smallest id of their component, if any.
+    """
+    mine, links = _linked(docs, part_bytes)
+    comps = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+    copies = materialise(mine.where("n > 0").groupBy("k").agg(F.count("*").alias("c")), "copies")
+    both = links.unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    others = both.join(copies.withColumnRenamed("k", "y"), "y").groupBy("x").agg(F.sum("c").alias("others"))
+    weight = copies.join(others.withColumnRenamed("x", "k"), "k", "left").select("k", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    at = mine.join(comps.withColumnRenamed("node", "k"), "k", "left").join(weight, "k", "left")
+    at = at.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "k")))
     low = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("low"))
     out = at.join(low, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -236,6 +236,31 @@ def test_jaccard_with_large_buckets(spark, seed, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == jaccard_truth(made)
 
 
+@pytest.mark.parametrize("crowd", [8, 1024])
+def test_jaccard_finds_all_links(spark, monkeypatch, crowd):
+    """Links inside one component too: between copies, in small buckets and in large ones of several blocks."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rng = random.Random(5)
+    common_text, made = prose(rng, 90, STOCK).split(), []
+    for i in range(50):
+        w = list(common_text)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice(STOCK)
+        made.append((i, " ".join(w), "en", "a"))
+    made += [(100 + i, *made[i % 7][1:]) for i in range(12)] + [(200 + i, prose(rng, 30, STOCK), "en", "a") for i in range(20)] + [(300, None, "en", "a"), (301, " ", "en", "a")]
+    sets = {i: frozenset(shingle_set(t)) for i, t, *_ in made}
+    alike = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    n = Counter(x for pair in alike for x in pair)
+    docs = make_docs(spark, made, clash=False)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: n[i] for i in sets}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(a, b) for a, b in alike if sets[a] != sets[b] and first[sets[a]] == a and first[sets[b]] == b}
+    assert sorted(tuple(r) for r in jaccard.jaccard_links(docs).collect()) == sorted(want) and len(want) > 200
+
+
 def test_jaccard_keeps_one(docs, rows, no_docs):
     kept = jaccard.keep_one(docs)
     want = {c for _, _, c in jaccard_truth(rows) if c is not None}
