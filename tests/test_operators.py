@@ -123,6 +123,30 @@ def test_large_anchor_has_null_statistics(spark):
     assert r["anchor"] == "X" and r["pval_opt"] is None
 
 
+def test_sparse_tables_agree_with_dense_ones():
+    rng = np.random.default_rng(3)
+    x = rng.poisson(1.0, (30, 8)).astype(float)
+    x[:, 5] = x[4] = 0
+    row, col = (a.ravel() for a in np.nonzero(x.T)[::-1])
+    y = stats_group.Sparse(row, col, x[row, col], x.shape)
+    c, f = rng.choice([-1.0, 1.0], 8), rng.integers(0, 2, 30).astype(float)
+    for g in (stats_group.p_finite, stats_group.p_old, stats_group.p_asymptotic, stats_group.effect_bin, stats_group.effect_cts):
+        assert g(y, c, f) == pytest.approx(g(x, c, f), rel=1e-9)
+    a, b = (stats_group.best_cf(t, 5, 50, stats_group.seed_of("A")) for t in (x, y))
+    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1]) and a[1].any()
+    assert stats_group.base_p(y, 9, stats_group.seed_of("A")) == pytest.approx(stats_group.base_p(x, 9, stats_group.seed_of("A")))
+    t = stats_group.split_table(y, 0.25, rng)
+    assert (t.n <= y.n).all() and t.sum(0).tolist() == np.floor(x.sum(0) * 0.25).tolist()
+
+
+def test_anchor_beyond_five_million_cells_has_statistics(spark):
+    """260,000 targets by 20 samples, of which the targets of the first ten samples are others than those of the rest."""
+    c = spark.range(260_000).selectExpr("cast(id % 20 as int) as sample_id", "'X' as anchor", "cast(id as string) as target", "1L as count")
+    common = spark.range(20).selectExpr("cast(id as int) as sample_id", "'X' as anchor", "if(id < 10, 'A', 'C') as target", "20000L as count")
+    r = stats_group.optimised_stats(c.unionAll(common)).first()
+    assert r["anchor"] == "X" and all(v is not None for v in r) and r["pval_opt"] < 1e-6 and r["effect_size_bin"] > 0.5
+
+
 @pytest.mark.parametrize("one_task", [2_000_000, 5])
 def test_correction(spark, one_task):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", 0.03)], "anchor string, p double")
