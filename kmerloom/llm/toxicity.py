@@ -58,11 +58,11 @@ class CharModel:
 def fit(texts: list[str], labels: np.ndarray, features: int = 40_000, epochs: int = 250, ridge: float = 2e-4, **shape) -> CharModel:
     """Presence of n-grams, scaled by log((p + 1) / (q + 1)) of the two classes' document counts, then logistic
     regression by full-batch accelerated gradient descent. Only the `features` cells of largest evidence (ratio
-    times root of count) have a weight. With one class or no text the model is that class's rate.
+    times root of count) have a weight. With one class the model is that class's rate; without text it rejects nothing.
     """
     m, y = CharModel(**shape), labels.astype(np.float64)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    m.bias = float(np.log(rate / (1 - rate)))
+    m.bias = float(np.log(rate / (1 - rate))) if len(y) else -30.0
     if not len(y) or y.min() == y.max():
         return m
     size = 1 << m.bits
@@ -103,7 +103,8 @@ def fit(texts: list[str], labels: np.ndarray, features: int = 40_000, epochs: in
 
 def train(docs: DataFrame, labels: DataFrame, k: int = 5, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, **how) -> CharModel:
     """Fit on labelled documents whose fold of `k` is not 0: the documented bound is the first `max_rows` by
-    md5 of the id, as long as their texts fit in `max_chars` together (never a part of a text).
+    md5 of the id, less those whose texts don't fit in `max_chars` with the ones before (never a part of a text).
+    Where texts are labelled and none fits it fails, rather than give all texts one score.
 
     A document that `labels` lists more than once counts with its largest label; null labels and texts don't.
     """
@@ -115,12 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 5, max_rows: int = MAX_RO
     picked = lean.join(F.broadcast(ids), "doc_id").select("_t", "_toxic", F.length("_t").alias("_n"), key.alias("_k"), "doc_id")
     texts, y, used = [], [], 0
     for row in sorted(picked.select("_k", "doc_id", "_n").collect()):
+        if used + row["_n"] > max_chars:
+            continue
         used += row["_n"]
-        if used > max_chars:
-            break
-        y.append(row["doc_id"])
+        y.append((row["doc_id"], row["_n"]))
     chosen = set(y)
-    rows = sorted((r["doc_id"], r["_toxic"], r["_t"]) for r in picked.select("doc_id", "_toxic", "_t").toLocalIterator() if r["doc_id"] in chosen)
+    if not chosen and not picked.isEmpty():
+        raise ValueError(f"no labelled text fits in {max_chars} characters")
+    rows = sorted((r["doc_id"], r["_toxic"], r["_t"]) for r in picked.select("doc_id", "_toxic", "_t", "_n").toLocalIterator() if (r["doc_id"], r["_n"]) in chosen)
     texts, y = [r[2] for r in rows], np.array([r[1] for r in rows], np.int64)
     return fit(texts, y, **how)
 

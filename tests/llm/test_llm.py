@@ -320,6 +320,21 @@ def test_toxicity(spark, no_docs):
     assert toxicity.toxicity(df, labels.where("toxic > 1")).count() == 403
 
 
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    rng = random.Random(8)
+    made = [(i, prose(rng, 30, STOCK) + (" you grubniks" if i % 3 == 0 else " you others"), "en", "s") for i in range(200)]
+    first = sorted((i for i in range(200) if crc(i) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[0]
+    made[first] = (first, "long " * 20_000, "en", "s")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    df = make_docs(spark, made)
+    m = toxicity.train(df, labels, max_chars=50_000)
+    assert m.score("you grubniks") > 0.5 and m.score("you others") < 0.5
+    with pytest.raises(ValueError):
+        toxicity.train(df.where(F.col("doc_id") == first), labels, max_chars=50_000)
+    none = toxicity.toxicity(df, labels.where("toxic > 1")).collect()
+    assert len(none) == 200 and not any(r["predicted"] for r in none)
+
+
 # --- 6 embeddings -----------------------------------------------------------------------------------------------
 
 
