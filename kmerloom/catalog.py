@@ -310,6 +310,15 @@ def _(d: Data) -> DataFrame:
     return sinks.pseudo_alignment(s, s.select("anchor").distinct(), 2, 3)
 
 
+@query("w6_pseudo_alignment_whole", _SATC + """, rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id, anchor ORDER BY count DESC, target) AS r FROM satc),
+g AS (SELECT s.sample_id, a.anchor FROM (SELECT DISTINCT sample_id FROM satc) s, (SELECT DISTINCT anchor FROM satc) a),
+p AS (SELECT g.sample_id, g.anchor, g.anchor || coalesce(max(CASE WHEN r = 1 THEN target END), 'NNN') || coalesce(max(CASE WHEN r = 2 THEN target END), 'NNN') AS p FROM g LEFT JOIN rk USING (sample_id, anchor) GROUP BY g.sample_id, g.anchor)
+SELECT sample_id, '>' || sample_id || chr(10) || rtrim(regexp_replace(string_agg(p, '' ORDER BY anchor), '(.{60})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM p GROUP BY sample_id""")
+def _(d: Data) -> DataFrame:
+    s = d.satc.persist()
+    return sinks.pseudo_alignment(s, s.select("anchor").distinct(), 2, 3)
+
+
 @query("w7_compactor_fasta", "SELECT n_nationkey AS id, '>compactor-' || n_nationkey || chr(10) || n_name AS value FROM nation")
 def _(d: Data) -> DataFrame:
     return sinks.fasta_of_compactors(d.table("nation").select(F.lit("").alias("anchor"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("compactor"))).drop("anchor")
@@ -428,6 +437,11 @@ def _(d: Data) -> DataFrame:
     return satc.hamming_filter(d.satc.where("count > 30"), 3).select("sample_id", "anchor").distinct()
 
 
+@query("f4_hamming_whole", _SATC + " SELECT DISTINCT a.sample_id, a.anchor FROM satc a JOIN satc b ON a.sample_id = b.sample_id AND a.anchor = b.anchor AND a.target < b.target WHERE hamming(a.target, b.target) >= 3")
+def _(d: Data) -> DataFrame:
+    return satc.hamming_filter(d.satc, 3).select("sample_id", "anchor").distinct()
+
+
 @query("f5_accept_list", _SATC + _COLS + "satc WHERE anchor IN ('ACG', 'TTA')")
 def _(d: Data) -> DataFrame:
     return satc.accept(d.satc, d.spark.createDataFrame([("ACG",), ("TTA",)], "anchor string"))
@@ -553,6 +567,23 @@ def _(d: Data) -> DataFrame:
     return c.agg(F.count("*").alias("n"))
 
 
+# The two above take a text's first window and, as their SQL says, return no clusters; these take all windows of the whole texts.
+
+
+def anchors_of(reads: DataFrame, length: int) -> DataFrame:
+    return pairs.windows(reads.select("seq"), length).select(F.col("window").alias("anchor")).distinct()
+
+
+@query("j12_shifted_anchors_whole")
+def _(d: Data) -> DataFrame:
+    return classify.shifted_anchors(anchors_of(d.reads, 6))
+
+
+@query("j12_anchor_clusters_whole")
+def _(d: Data) -> DataFrame:
+    return classify.anchor_clusters(anchors_of(d.reads, 10), 3)
+
+
 # --- aggregates -------------------------------------------------------------------------------------------------
 
 

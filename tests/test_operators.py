@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kmerloom import catalog
 from kmerloom.functions import seq
 from kmerloom.operators import classify, compactors, fdr, lookup, pairs, satc, stats_group, stats_native
 from kmerloom.plans import config, pipeline, postprocess
@@ -147,6 +148,32 @@ def test_anchor_beyond_five_million_cells_has_statistics(spark):
     assert r["anchor"] == "X" and all(v is not None for v in r) and r["pval_opt"] < 1e-6 and r["effect_size_bin"] > 0.5
 
 
+def test_queries_over_whole_texts(spark, tmp_path):
+    """Anchors inside the texts are linked and clustered, and rare targets count, as by brute force."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("acgt"), n)) for n in (5, 9, 25, 40, 60)]
+    bases = [t.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")) for t in texts]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    all_of = lambda k: {b[i : i + k] for b in bases for i in range(len(b) - k + 1)}
+    link = lambda a, b, most: next((k for k in range(1, most + 1) if a != b and a[k:] == b[: len(b) - k]), None)
+    short = all_of(6)
+    assert sorted(run("j12_shifted_anchors_whole")) == sorted((a, b, k) for a in short for b in short if (k := link(a, b, 5)))
+    cluster = {a: a for a in all_of(10)}
+    while True:
+        low = {a: min([cluster[a], *[cluster[b] for b in cluster if link(a, b, 3) or link(b, a, 3)]]) for a in cluster}
+        if low == cluster:
+            break
+        cluster = low
+    assert sorted(run("j12_anchor_clusters_whole")) == sorted(cluster.items()) and len(set(cluster.values())) < len(cluster)
+    seen = {(f"s{j % 2}", b[i : i + 3], b[i + 3 : i + 6]) for j, b in enumerate(bases) for i in range(len(b) - 5)}
+    assert sorted(run("f4_hamming_whole")) == sorted({(s, a) for s, a, t in seen for s2, a2, u in seen if (s, a) == (s2, a2) and all(x != y for x, y in zip(t, u, strict=True))})
+    top = dict(run("w6_pseudo_alignment_whole"))
+    anchors = {a for _, a, _ in seen}
+    assert {s: len(v.split("\n", 1)[1].replace("\n", "")) for s, v in top.items()} == {s: 9 * len(anchors) for s in ("s0", "s1")}
+    spark.catalog.clearCache()
+
+
 @pytest.mark.parametrize("one_task", [2_000_000, 5])
 def test_correction(spark, one_task):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", 0.03)], "anchor string, p double")
