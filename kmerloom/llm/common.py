@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share.
+
+    Where the session names none, one is made if all of Spark is this process; on a cluster that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jvm.get() if jvm.isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kmerloom-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -56,15 +65,44 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._kmerloom_path = at
+    for names in _OPEN:
+        names.append(at)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing lazy refers to it."""
     if at := getattr(df, "_kmerloom_path", None):
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The paths written in each scratch_tables() that is open.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what materialise() has written within it, but for the paths taken out of the list it gives."""
+    names: list[str] = []
+    _OPEN.append(names)
+    try:
+        yield names
+    finally:
+        _OPEN.remove(names)
+        for at in names:
+            _delete(spark, at)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and broadcasts of finished queries now: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
 
 
 def input_bytes(df: DataFrame, column: str = "text") -> int:

@@ -10,26 +10,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, input_bytes, materialise
+from .common import components, input_bytes, materialise, release
 
 WIDTH = 5
 #: Similarity as a fraction of integers: linked when DENOMINATOR * overlap >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Fragments of the n-gram order in which overlaps are counted apart.
-FRAGMENTS = 4
+#: N-grams of one fragment of the global order: overlaps are counted fragment by fragment and added up.
+FRAGMENT = 4096
 #: N-grams that are ordered last for being frequent: this many at most are sent to all tasks, 8 bytes each.
 MAX_FREQUENT = 500_000
-#: Up to so many texts that share a prefix n-gram are paired at once; more are paired block against block.
+#: Up to so many texts that share a prefix n-gram are paired at once; more are a crowd, compared block against block.
 SMALL = 16
-#: Texts in one block of a large bucket.
-CROWD = 1024
+#: Texts in one block of a crowd, and n-grams in one block of a cell.
+CROWD, BLOCK_GRAMS = 1024, 1 << 20
+#: Cells of up to so many pairs are counted many at a time, with so many n-grams together.
+FEW, BIN_GRAMS = 4096, 2 << 20
 #: Bits of the sketch by which unlike texts of large buckets are told apart.
 BITS = 1024
-#: Partners of one text in one cell of the counting.
-HUB = 4096
+#: Class that marks, among postings, an n-gram whose bucket is known to be large.
+LARGE = 255
 
 _U = np.uint64
-_SETS = "doc_id string, n long, k long, sketch binary, frequent binary"
+_SETS = "doc_id string, t long, n long, k long, sketch binary, frequent binary"
 
 
 class Words(dict):
@@ -78,7 +80,10 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, k, sketch) for each row, and rows of packed n-grams that recur within a task's block of tokens."""
+    """A row (doc_id, t, n, k, sketch) for each row, and rows of packed n-grams that recur within a task's block of tokens.
+
+    (doc_id, t), t a hash of the text, tells rows apart where ids are null or repeated.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, size = Words(), [], 0
@@ -86,7 +91,7 @@ def describe(docs: DataFrame) -> DataFrame:
         def frequent() -> pd.DataFrame:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c >= 3], c[c >= 3]
-            return pd.DataFrame({"doc_id": [None], "n": [-1], "k": [0], "sketch": [None], "frequent": [np.concatenate((u, c.astype(_U))).tobytes()]})
+            return pd.DataFrame({"doc_id": [None], "t": [0], "n": [-1], "k": [0], "sketch": [None], "frequent": [np.concatenate((u, c.astype(_U))).tobytes()]})
 
         for p in parts:
             n, k, sketch = [], [], []
@@ -100,15 +105,19 @@ def describe(docs: DataFrame) -> DataFrame:
                 if size > 3_000_000:
                     yield frequent()
                     held, size = [], 0
-            yield pd.DataFrame({"doc_id": p["doc_id"], "n": n, "k": k, "sketch": sketch, "frequent": None})
+            yield pd.DataFrame({"doc_id": p["doc_id"], "t": p["t"], "n": n, "k": k, "sketch": sketch, "frequent": None})
         if held:
             yield frequent()
 
     # Ids travel as text: pandas has no integers beside nulls.
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, _SETS)
+    out = _named(docs).mapInPandas(run, _SETS)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
+
 def frequent_ngrams(described: DataFrame, most: int = MAX_FREQUENT) -> np.ndarray:
     """Rows (hash, class) of n-grams seen often, sorted by hash: the level is the lowest that keeps at most `most`.
 
@@ -142,6 +151,14 @@ class Often:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes >> _U(42)).astype(np.int64)] = True
 
+    def rank(self, grams: np.ndarray) -> np.ndarray:
+        """Places of sorted distinct n-grams in the global order among themselves."""
+        at = np.minimum(np.searchsorted(self.hashes, grams), max(len(self.hashes) - 1, 0))
+        level = np.where(self.hashes[at] == grams, self.level[at], _U(0)) if len(self.hashes) else np.zeros(len(grams), _U)
+        out = np.empty(len(grams), np.int64)
+        out[np.lexsort((grams, level))] = np.arange(len(grams))
+        return out
+
     def prefix(self, s: np.ndarray) -> np.ndarray:
         """The rarest n-grams of a set, one of which any text similar enough has among its own.
 
@@ -163,10 +180,12 @@ def prefix_size(n: int) -> int:
 
 
 def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
-    """Prefix n-grams in packed rows (part, tokens, keys, classes): 13 bytes a posting, dealt by n-gram.
+    """Prefix n-grams in packed rows (part, toks, keys, classes): 13 bytes a posting, dealt by n-gram.
 
-    A class is the logarithm of the set's size to the base 4/3; texts that are similar differ by one at most.
-    Equal sets have equal keys and give equal postings, which the reader of a part drops.
+    A class is the logarithm of the set's size to the base 4/3; texts that are similar differ by one at most. Equal
+    sets have equal keys and give equal postings, which the reader of a part drops. An n-gram of more than SMALL texts within
+    one block of tokens has a large bucket: its postings leave as rows of part -1 (toks 64 bits wide) and only a
+    mark goes to the part, so a part gets a bounded number of postings of an n-gram from each block.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Often(often))  # MAX_FREQUENT n-grams
 
@@ -178,11 +197,24 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
             t = np.concatenate(toks)
             n = np.array([len(x) for x in toks])
             k, c = np.repeat(np.array(keys, np.int64), n), np.repeat(np.array(classes, np.uint8), n)
-            part = (t % _U(parts_n)).astype(np.int64)
-            o = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[o], np.arange(parts_n + 1))
-            t = (t[o] // _U(parts_n)).astype(np.uint32)
-            rows = [(j, t[a:b].tobytes(), k[o[a:b]].tobytes(), c[o[a:b]].tobytes()) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            part, t = (t % _U(parts_n)).astype(np.int64), (t // _U(parts_n)).astype(np.uint32)
+            o = np.lexsort((k, t, part))
+            part, t, k, c = part[o], t[o], k[o], c[o]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1]) | (k[1:] != k[:-1])
+            part, t, k, c = part[new], t[new], k[new], c[new]
+            first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (part[1:] != part[:-1]))))
+            n = np.diff(np.append(first, len(t)))
+            large = np.repeat(n > SMALL, n)
+            rows = []
+            if large.any():
+                wide = t[large].astype(np.int64) * parts_n + part[large]
+                rows.append((-1, wide.tobytes(), k[large].tobytes(), c[large].tobytes()))
+                mark = first[n > SMALL]
+                c[mark], large[mark] = LARGE, False
+                part, t, k, c = part[~large], t[~large], k[~large], c[~large]
+            cut = np.searchsorted(part, np.arange(parts_n + 1))
+            rows += [(j, t[a:b].tobytes(), k[a:b].tobytes(), c[a:b].tobytes()) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             return pd.DataFrame(rows, columns=["part", "toks", "keys", "classes"])
 
         for p in parts:
@@ -203,7 +235,7 @@ def postings(docs: DataFrame, often: np.ndarray, parts_n: int) -> DataFrame:
 
 
 def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
-    """From postings, rows (what, x, y, n, tok, class).
+    """From postings, rows (what, x, y, n, tok).
 
     0: texts x and y share n prefix n-grams in small buckets of this part. 2: x is in the large bucket of n-gram tok.
     """
@@ -212,27 +244,38 @@ def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
         t = np.concatenate([np.frombuffer(b, np.uint32) for b in p["toks"]])
         k = np.concatenate([np.frombuffer(b, np.int64) for b in p["keys"]])
         c = np.concatenate([np.frombuffer(b, np.uint8) for b in p["classes"]]).astype(np.int64)
+        marked = np.unique(t[c == LARGE])
         o = np.lexsort((k, t))
+        o = o[c[o] != LARGE]
         t, k, c = t[o], k[o], c[o]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
         t, k, c = t[new], k[new], c[new]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(t)))
+        known = np.repeat(np.isin(t[first], marked), n)
         many, begin = np.repeat(n, n), np.repeat(first, n)
         xs, ys = [], []
-        few = np.flatnonzero((many > 1) & (many <= SMALL))
+        few = np.flatnonzero((many > 1) & (many <= SMALL) & ~known)
         for d in range(1, SMALL):  # pairs d apart in a bucket
             a = few[few - begin[few] + d < many[few]]
             a = a[np.abs(c[a] - c[a + d]) <= 1]
             xs.append(k[a])
             ys.append(k[a + d])
-        large = np.flatnonzero(many > SMALL)
+        large = np.flatnonzero((many > SMALL) | known)
         x, y, count = _counted(np.concatenate(xs), np.concatenate(ys))
-        row = lambda what, x, y, n, tok, cl: pd.DataFrame({"what": what, "x": x, "y": y, "n": n, "tok": tok, "class": cl})
-        return pd.concat([row(0, x, y, count, 0, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]), c[large])], ignore_index=True)
+        row = lambda what, x, y, n, tok: pd.DataFrame({"what": what, "x": x, "y": y, "n": n, "tok": tok})
+        return pd.concat([row(0, x, y, count, 0), row(2, k[large], 0, 0, t[large].astype(np.int64) * parts_n + int(key[0]))], ignore_index=True)
 
-    return posts.groupBy("part").applyInPandas(run, "what int, x long, y long, n long, tok long, class int")
+    def direct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for t, k in zip(p["toks"], p["keys"], strict=True):
+                yield pd.DataFrame({"what": 2, "x": np.frombuffer(k, np.int64), "y": 0, "n": 0, "tok": np.frombuffer(t, np.int64)})
+
+    schema = "what int, x long, y long, n long, tok long"
+    # A marked n-gram's own posting went with the direct rows, too.
+    posts = materialise(posts, "postings")
+    return posts.where("part >= 0").groupBy("part").applyInPandas(run, schema).unionAll(posts.where("part < 0").mapInPandas(direct, schema))
 
 
 def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,160 +286,314 @@ def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return x[new], y[new], np.diff(np.append(new, len(x)))
 
 
-def promising(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Those of `pairs` (x, y, n) that can still be similar: size, and the n-grams their prefixes share.
+def homes(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((x, home), (tok, x, home) of buckets in which texts of several homes meet).
+
+    A text's home is the largest of its large buckets, so that near copies, which share most of their prefixes, nearly
+    all have one home however many they are.
+    """
+    large = large.distinct()
+    size = large.groupBy("tok").agg(F.count("*").alias("_m"))
+    home = large.join(size, "tok").groupBy("x").agg(F.max(F.struct("_m", "tok"))["tok"].alias("home"))
+    home = materialise(home, "homes")
+    m = large.join(home, "x")
+    several = m.groupBy("tok").agg(F.count("*").alias("_m"), F.min("home").alias("_a"), F.max("home").alias("_b")).where("_a <> _b")
+    return home, m.join(several.select("tok", F.ceil(F.col("_m") / F.lit(CROWD)).cast("int").alias("_of")), "tok")
+
+
+def crowd_cells(m: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(lo, hi, k): texts of two homes, lo and hi, that have a partner in the other one by size and sketch in some large bucket.
+
+    At similarity t two sets differ in (1 - t) / (1 + t) of their sizes' sum at most, and at least in the bits in
+    which their sketches differ. A bucket is dealt into blocks, and each two blocks meet in a group. What leaves a
+    group grows with its texts and homes, not with its pairs.
+    """
+    m = m.withColumn("mine", F.pmod(F.xxhash64("x", "tok"), F.col("_of")).cast("int"))
+    m = m.select("tok", "x", "home", "mine", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("other"))
+    m = m.select("tok", "x", "home", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    m = m.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("size"), "sketch"), "x")
 
-    With prefixes of p of |x| and q of |y| n-grams and s of them shared, the overlap is at most
-    s + max(|x| - p, |y| - q).
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["home", "x"])
+        x, home, block, n = (p[c].to_numpy(np.int64) for c in ("x", "home", "mine", "size"))
+        bits = np.stack([np.frombuffer(b, _U) for b in p["sketch"]])
+        two = p["i"].iloc[0] != p["j"].iloc[0]
+        # Sorted by home, the texts after those of one's own home are its partners.
+        after = np.searchsorted(home, home, "right")
+        lo, hi, ks = [], [], []
+        for i in np.flatnonzero(after < len(x)):
+            js = np.arange(after[i], len(x))
+            js = js[(DENOMINATOR * np.minimum(n[js], n[i]) >= NUMERATOR * np.maximum(n[js], n[i]))]
+            if two:
+                js = js[block[js] != block[i]]
+            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1)
+            js = js[apart * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (n[js] + n[i])]
+            if len(js):
+                there = np.unique(home[js])
+                for a, b, k in ((np.full(len(there), home[i]), there, np.full(len(there), x[i])), (np.full(len(js), home[i]), home[js], x[js])):
+                    lo.append(a)
+                    hi.append(b)
+                    ks.append(k)
+        if not lo:
+            return pd.DataFrame({"lo": [], "hi": [], "k": []}).astype("int64")
+        return pd.DataFrame({"lo": np.concatenate(lo), "hi": np.concatenate(hi), "k": np.concatenate(ks)}).drop_duplicates()
+
+    return m.groupBy("tok", "i", "j").applyInPandas(run, "lo long, hi long, k long").distinct()
+
+
+def cells(few: DataFrame, large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(lo, hi, k, side): every pair of texts that may be similar lies in just one cell, that of its two homes.
+
+    A text in no large bucket is a home of its own. side tells the home of k, 0 for lo. Of pairs from small buckets
+    those go whose sizes, or the n-grams that their prefixes share, leave no room for enough overlap: with prefixes of p of
+    |x| and q of |y| n-grams and s of them shared, the overlap is at most s + max(|x| - p, |y| - q). The s is
+    known where one of the two is in no large bucket.
     """
-    z = pairs.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("k").alias("y"), F.col("n").alias("ny")), "y")
+    home, crowds = homes(large)
+    z = few.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    z = z.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("k").alias("y"), F.col("n").alias("ny")), "y")
     z = z.where(DENOMINATOR * F.least("nx", "ny") >= NUMERATOR * F.greatest("nx", "ny"))
+    z = z.join(home.select("x", F.col("home").alias("hx")), "x", "left").join(home.select(F.col("x").alias("y"), F.col("home").alias("hy")), "y", "left")
     rest = lambda n: F.ceil(NUMERATOR * F.col(n) / F.lit(DENOMINATOR)) - 1
     need = F.ceil(NUMERATOR * (F.col("nx") + F.col("ny")) / F.lit(NUMERATOR + DENOMINATOR))
-    return z.where(F.col("n") >= need - F.greatest(rest("nx"), rest("ny"))).select("x", "y", "n")
+    z = z.where((F.col("hx").isNotNull() & F.col("hy").isNotNull()) | (F.col("n") >= need - F.greatest(rest("nx"), rest("ny"))))
+    z = z.select("x", "y", F.coalesce("hx", "x").alias("hx"), F.coalesce("hy", "y").alias("hy")).where("hx <> hy")
+    lo, hi = F.least("hx", "hy").alias("lo"), F.greatest("hx", "hy").alias("hi")
+    z = z.select(lo, hi, F.explode(F.array(F.struct(F.col("x").alias("k"), F.col("hx").alias("h")), F.struct(F.col("y").alias("k"), F.col("hy").alias("h")))).alias("e")).select("lo", "hi", "e.k", "e.h")
+    own = home.select(F.col("home").alias("lo"), F.col("home").alias("hi"), F.col("x").alias("k"), F.col("home").alias("h"))
+    other = crowd_cells(crowds, sizes).join(home.select(F.col("x").alias("k"), F.col("home").alias("h")), "k").select("lo", "hi", "k", "h")
+    return z.unionByName(other).unionByName(own).select("lo", "hi", "k", F.when(F.col("h") == F.col("lo"), 0).otherwise(1).alias("side")).distinct()
 
 
-def overlaps(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
-    """(x, y) of `pairs` whose texts are similar: overlaps counted by fragment, summed by pair.
+def placed(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(bin, lo, hi, i, j, side, k, n, w): the texts of each cell in blocks, each two blocks of it a unit.
 
-    A cell is a block of pairs and a fragment of the n-gram order; it holds the pairs and, of each text in them,
-    the n-grams that lie in the fragment. A text with more than HUB partners is in several blocks.
+    A unit of many pairs is a bin of its own, others share bins by their lower home, salted where it has many cells.
+    """
+    m = materialise(members.join(sizes.select("k", "n", "w"), "k"), "members")
+    of = lambda s: F.greatest(F.ceil(F.sum(F.when(F.col("side") == s, 1)) / F.lit(CROWD)), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n"))) / F.lit(BLOCK_GRAMS)), F.lit(1)).cast("int")
+    size = m.groupBy("lo", "hi").agg(of(0).alias("_b0"), of(1).alias("_b1"), F.count("*").alias("_m"), F.sum("n").alias("_n"))
+    size = size.where("_m > 1").withColumn("_few", (F.col("_m") * F.col("_m") <= FEW) & (F.col("_n") <= BIN_GRAMS))
+    size = materialise(size, "cells")
+    bins = max(1, -(-(size.where("_few").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]) // BIN_GRAMS))
+    often = size.where("_few").groupBy("lo").agg(F.ceil(F.sum("_n") / F.lit(BIN_GRAMS)).alias("_salt"))
+    m = m.join(size.drop("_n", "_m"), ["lo", "hi"]).join(often, "lo", "left")
+    mine = F.when(F.col("side") == 0, F.pmod(F.xxhash64("k", "hi"), "_b0")).otherwise(F.pmod(F.xxhash64("k", "lo"), "_b1")).cast("int")
+    others = F.when((F.col("side") == 0) & (F.col("lo") != F.col("hi")), F.col("_b1")).otherwise(F.col("_b0"))
+    m = m.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    same = F.col("lo") == F.col("hi")
+    i = F.when(same, F.least("mine", "other")).when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other"))
+    j = F.when(same, F.greatest("mine", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
+    # In a unit of two blocks of one home the second block is the second side.
+    side = F.when(same, (F.col("mine") != i).cast("int")).otherwise(F.col("side"))
+    m = m.withColumn("i", i).withColumn("j", j).withColumn("side", side)
+    shared = F.pmod(F.xxhash64("lo", F.pmod(F.xxhash64("hi"), F.coalesce("_salt", F.lit(1)))), F.lit(bins))
+    at = F.when(F.col("_few"), shared).otherwise(F.xxhash64("lo", "hi", "i", "j").bitwiseOR(F.lit(-(1 << 63))))  # those of their own are negative
+    return m.select(at.alias("bin"), "lo", "hi", "i", "j", "side", "k", "n", "w")
+
+
+def _overlap(left: list[np.ndarray], right: list[np.ndarray], often: Often) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: partial counts by fragment, added up."""
+    if len(left) * len(right) <= 16:
+        out = np.zeros((len(left), len(right)), np.int64)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                small, wide = (a, b) if len(a) <= len(b) else (b, a)
+                out[i, j] = (wide[np.minimum(np.searchsorted(wide, small), len(wide) - 1)] == small).sum()
+        return out
+
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (g, a), (h, b) = flat(left), flat(right)
+    both = np.intersect1d(g, h)  # an n-gram of one side only adds to no pair
+    if not len(both):
+        return np.zeros((len(left), len(right)), np.int64)
+    rank = often.rank(both)
+
+    def column(grams: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, grams), len(both) - 1)
+        hit = both[at] == grams
+        at, rows = rank[at[hit]], rows[hit]
+        o = np.argsort(at, kind="stable")
+        return at[o], rows[o]
+
+    (ca, ra), (cb, rb) = column(g, a), column(h, b)
+    total = np.zeros((len(left), len(right)), np.int64)
+    for f in range(0, len(both), FRAGMENT):
+        part = []
+        for c, r, size in ((ca, ra, len(left)), (cb, rb, len(right))):
+            s, e = np.searchsorted(c, (f, f + FRAGMENT))
+            grid = np.zeros((size, min(FRAGMENT, len(both) - f)), np.float32)
+            grid[r[s:e], c[s:e] - f] = 1
+            part.append(grid)
+        total += (part[0] @ part[1].T).astype(np.int64)  # counts up to FRAGMENT are exact
+    return total
+
+
+def _joined(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(left, right) as nodes i and len(left) + j: for each node that links reach, its tree's first node."""
+    rows, cols = linked.shape
+    out, done_r, done_c = [], ~linked.any(1), ~linked.any(0)
+    for seed in np.flatnonzero(~done_r):
+        if done_r[seed]:
+            continue
+        done_r[seed] = True
+        front = np.array([seed])
+        while len(front):
+            right = np.flatnonzero(linked[front].any(0) & ~done_c)
+            done_c[right] = True
+            out += [(seed, rows + j) for j in right.tolist()]
+            front = np.flatnonzero(linked[:, right].any(1) & ~done_r)
+            done_r[front] = True
+            out += [(seed, i) for i in front.tolist()]
+    return out
+
+
+def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarray, links: bool) -> DataFrame:
+    """Rows (what, x, y, n) from the units of `place`. 0: x is linked with n rows of other texts. 1: x and y are connected.
+
+    2, if `links`: x and y are linked. The n-grams of a text go once to each bin. There they are numbered in the global
+    order, which is cut into fragments; a unit's overlaps are counted in each fragment and summed by pair.
     """
-    blocks = max(1, -(-n_pairs // 20_000))
-    deg = pairs.groupBy("x").agg(F.count("*").alias("_deg"))
-    sub = F.pmod(F.xxhash64("y"), F.ceil(F.col("_deg") / HUB))
-    put = pairs.join(deg, "x").select("x", "y", F.pmod(F.xxhash64("x", sub), F.lit(blocks)).cast("int").alias("block"))
-    put = materialise(put, "pairs")
-    need = put.select(F.col("x").alias("k"), "block").unionAll(put.select(F.col("y").alias("k"), "block")).groupBy("k").agg(F.array_distinct(F.collect_list("block")).alias("blocks"))
-    need = need.join(sizes.select("k", "rep", "n"), "k")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(need, "rep")
+    sent = docs.sparkSession.sparkContext.broadcast(Often(often))  # MAX_FREQUENT n-grams
+    bins = place.groupBy("k").agg(F.collect_set("bin").alias("bins")).join(sizes.select("k", "rep"), "k")
+    bins = bins.select("k", "bins", F.col("rep.doc_id").cast("string").alias("_d"), F.col("rep.t").alias("_t"))
+    named = _named(docs)
+    # Rows that agree in id and text are one.
+    texts = named.join(bins, named["doc_id"].eqNullSafe(bins["_d"]) & (named["t"] == bins["_t"])).groupBy("k").agg(F.first("text").alias("text"), F.first("bins").alias("bins"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
+        cols = ["bin", "what", "lo", "hi", "i", "j", "side", "k", "n", "w", "grams"]
         for p in parts:
             rows = []
-            for k, text, n, bs in zip(p["k"], p["text"], p["n"], p["blocks"], strict=True):
-                s = shingles(text, known)
-                if len(s) != n or set_key(s) != k:
-                    continue  # another row with the id of the one that stands for this set
-                at = np.searchsorted(s, [_U((i << 64) // FRAGMENTS) for i in range(1, FRAGMENTS)])
-                for f, piece in enumerate(np.split(s, at)):
-                    rows += [(int(b) * FRAGMENTS + f, 0, k, 0, n, piece.tobytes()) for b in bs]
+            for k, text, bins in zip(p["k"], p["text"], p["bins"], strict=True):
+                s = shingles(text, known).tobytes()
+                rows += [(int(b), 0, 0, 0, 0, 0, 0, k, 0, 0, s) for b in bins]
                 if len(rows) > 2000:
-                    yield pd.DataFrame(rows, columns=["cell", "what", "x", "y", "n", "grams"])
+                    yield pd.DataFrame(rows, columns=cols)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["cell", "what", "x", "y", "n", "grams"])
+                yield pd.DataFrame(rows, columns=cols)
 
-    schema = "cell int, what int, x long, y long, n long, grams binary"
-    pieces = texts.mapInPandas(cut, schema)
-    asked = put.select(F.explode(F.expr(f"transform(sequence(0, {FRAGMENTS - 1}), f -> block * {FRAGMENTS} + f)")).alias("cell"), F.lit(1).alias("what"), "x", "y", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("grams"))
+    schema = "bin long, what int, lo long, hi long, i int, j int, side int, k long, n long, w long, grams binary"
+    asked = place.select("bin", F.lit(1).alias("what"), "lo", "hi", "i", "j", "side", "k", "n", "w", F.lit(None).cast("binary").alias("grams"))
 
     def count(p: pd.DataFrame) -> pd.DataFrame:
-        have = p[p["what"] == 0].drop_duplicates("x")
-        grams = {k: np.frombuffer(b, _U) for k, b in zip(have["x"], have["grams"], strict=True)}
-        size = dict(zip(have["x"], have["n"], strict=True))
-        ask = p[p["what"] == 1].sort_values("x", kind="stable")
-        xs, ys = ask["x"].to_numpy(np.int64), ask["y"].to_numpy(np.int64)
-        out = np.zeros(len(xs), np.int64)
-        cuts = np.flatnonzero(np.concatenate(([True], xs[1:] != xs[:-1]))) if len(xs) else []
-        for a, b in zip(cuts, [*cuts[1:], len(xs)], strict=True):
-            mine = grams[xs[a]]
-            if not len(mine):
+        have = p[p["what"] == 0].drop_duplicates("k")
+        grams = {k: np.frombuffer(b, _U) for k, b in zip(have["k"], have["grams"], strict=True)}
+        ask = p[p["what"] == 1].sort_values(["lo", "hi", "i", "j", "side", "k"])
+        cols = {c: ask[c].to_numpy(np.int64) for c in ("lo", "hi", "i", "j", "side", "k", "n", "w")}
+        head = np.ones(len(ask), bool)
+        head[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in ("lo", "hi", "i", "j")], axis=0)
+        at = np.flatnonzero(head)
+        what, xs, ys, ns = [], [], [], []
+
+        def put(w: int, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+            what.append(np.full(len(x), w))
+            xs.append(x)
+            ys.append(y)
+            ns.append(n)
+
+        for a, b in zip(at, [*at[1:], len(ask)], strict=True):
+            mid = a + int(np.searchsorted(cols["side"][a:b], 1))
+            one = cols["lo"][a] == cols["hi"][a] and cols["i"][a] == cols["j"][a]
+            left, right = slice(a, mid), slice(a, b) if one else slice(mid, b)
+            kl, kr, nl, nr, wl, wr = (cols[c][s] for c in ("k", "n", "w") for s in (left, right))
+            if not len(kl) or not len(kr):
                 continue
-            theirs = [grams[y] for y in ys[a:b]]
-            cat = np.concatenate(theirs)
-            hit = mine[np.minimum(np.searchsorted(mine, cat), len(mine) - 1)] == cat
-            out[a:b] = np.bincount(np.repeat(np.arange(b - a), [len(v) for v in theirs]), hit, b - a)
-        both = np.array([size[x] + size[y] for x, y in zip(xs, ys, strict=True)], np.int64)
-        return pd.DataFrame({"x": xs, "y": ys, "both": both, "c": out})
-
-    part = pieces.unionAll(asked).groupBy("cell").applyInPandas(count, "x long, y long, both long, c long")
-    total = part.groupBy("x", "y", "both").agg(F.sum("c").alias("c"))
-    return total.where(DENOMINATOR * F.col("c") >= NUMERATOR * (F.col("both") - F.col("c"))).select("x", "y")
-
-
-def crowd_pairs(large: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(x, y, n): all pairs that share n large buckets and may be similar by size and sketch, x the smaller.
-
-    At similarity t two sets differ in (1 - t) / (1 + t) of their sizes' sum at most, and at least in the bits in
-    which their sketches differ. A bucket is dealt into blocks, and each two blocks meet in a group.
-    """
-    many = large.groupBy("tok").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("_of"))
-    m = large.join(many, "tok").withColumn("mine", F.pmod(F.xxhash64("x", "tok"), F.col("_of")).cast("int"))
-    m = m.select("tok", "x", "mine", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("other"))
-    m = m.select("tok", "x", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    m = m.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("size"), "sketch"), "x")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["mine", "x"])
-        x, block, n = (p[c].to_numpy(np.int64) for c in ("x", "mine", "size"))
-        bits = np.stack([np.frombuffer(b, _U) for b in p["sketch"]])
-        two = p["i"].iloc[0] != p["j"].iloc[0]
-        after = np.searchsorted(block, block, "right") if two else np.arange(1, len(x) + 1)
-        out = []
-        for i in np.flatnonzero(after < len(x)):
-            js = np.arange(after[i], len(x))
-            js = js[(DENOMINATOR * np.minimum(n[js], n[i]) >= NUMERATOR * np.maximum(n[js], n[i]))]
-            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1)
-            js = js[apart * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (n[js] + n[i])]
-            out.append(np.stack([np.minimum(x[i], x[js]), np.maximum(x[i], x[js])]))
-        z = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"x": z[0], "y": z[1]})
-
-    return m.groupBy("tok", "i", "j").applyInPandas(run, "x long, y long").groupBy("x", "y").agg(F.count("*").alias("n"))
-
-
-def _linked(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, k) of every row, and every link (x, y) between different texts, by key of the set."""
+            c = _overlap([grams[k] for k in kl.tolist()], [grams[k] for k in kr.tolist()], sent.value)
+            linked = DENOMINATOR * c >= NUMERATOR * (nl[:, None] + nr[None, :] - c)
+            if one:
+                np.fill_diagonal(linked, False)
+            if not linked.any():
+                continue
+            near = linked @ wr
+            hit = np.flatnonzero(near)
+            put(0, kl[hit], np.zeros(len(hit), np.int64), near[hit])
+            if not one:
+                near = linked.T @ wl
+                hit = np.flatnonzero(near)
+                put(0, kr[hit], np.zeros(len(hit), np.int64), near[hit])
+            tree = np.array(_joined(linked), np.int64).reshape(-1, 2)
+            every = np.concatenate((kl, kr))
+            x, y = every[tree[:, 0]], every[tree[:, 1]]
+            put(1, x[x != y], y[x != y], np.zeros(int((x != y).sum()), np.int64))
+            if links:
+                i, j = np.nonzero(np.triu(linked) if one else linked)
+                put(2, kl[i], kr[j], np.zeros(len(i), np.int64))
+        join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        return pd.DataFrame({"what": join(what), "x": join(xs), "y": join(ys), "n": join(ns)})
+
+    return texts.mapInPandas(cut, schema).unionAll(asked).groupBy("bin").applyInPandas(count, "what int, x long, y long, n long")
+
+
+def _linked(docs: DataFrame, part_bytes: int, links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, t, n, k) of every row, sizes by key of the set, and counted() of all pairs that may be similar."""
     # Texts are read from `docs` three times; it should be a table.
     told = materialise(describe(docs), "sets")
     often = frequent_ngrams(told)
-    sizes = told.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    # The row that stands for a set: the smallest id, nulls last, and of those the smallest hash of the text.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))).alias("rep")
+    sizes = told.where("n > 0").groupBy("k").agg(rep, F.max("n").alias("n"), F.count("*").alias("w"), F.min("sketch").alias("sketch"))
     parts_n = max(8, min(1 << 16, -(-input_bytes(docs) // part_bytes)))
     found = materialise(buckets(postings(docs, often, parts_n), parts_n), "buckets")
     sizes = materialise(sizes, "sizes")
-    few = found.where("what = 0").select("x", "y", "n")
-    crowd = crowd_pairs(found.where("what = 2").select("x", "tok"), sizes)
-    pairs = materialise(promising(few.unionByName(crowd).groupBy("x", "y").agg(F.sum("n").alias("n")), sizes), "candidates")
-    return told.where("n >= 0").select("doc_id", "n", "k"), materialise(overlaps(docs, sizes, pairs.select("x", "y"), pairs.count()), "links")
+    members = cells(found.where("what = 0").select("x", "y", "n"), found.where("what = 2").select("x", "tok"), sizes)
+    place = materialise(placed(members, sizes), "places")
+    release(docs.sparkSession)
+    return told.where("n >= 0").select("doc_id", "t", "n", "k"), sizes, materialise(counted(docs, sizes, place, often, links), "links")
 
 
 def jaccard_links(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
-    """(a, b): every link between different texts that have ids, each text by the smallest id of its copies."""
-    rows, links = _linked(docs, part_bytes)
-    of = materialise(rows.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep")), "reps")
-    z = links.join(of.select(F.col("k").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("k").alias("y"), F.col("rep").alias("b")), "y")
-    return z.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """(a, b): every link between different texts, each text by the smallest id of its copies (null: none has an id)."""
+    _, sizes, found = _linked(docs, part_bytes, True)
+    of = sizes.select("k", F.col("rep.doc_id").alias("rep"))
+    z = found.where("what = 2").join(of.select(F.col("k").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("k").alias("y"), F.col("rep").alias("b")), "y")
+    return z.select(F.least("a", "b").alias("a"), F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(None)).otherwise(F.greatest("a", "b")).alias("b"))
+
+
+def _components(docs: DataFrame, part_bytes: int) -> DataFrame:
+    """(doc_id, t, n, k, component, n_links) of every row; component is null for sets without n-grams."""
+    mine, sizes, found = _linked(docs, part_bytes, False)
+    comps = materialise(components(found.where("what = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
+    others = found.where("what = 0").groupBy(F.col("x").alias("k")).agg(F.sum("n").alias("others"))
+    each = sizes.select("k", "w").join(others, "k", "left").join(comps.withColumnRenamed("node", "k"), "k", "left")
+    each = each.select("k", F.coalesce("component", "k").alias("component"), (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    # A text that a third of all rows hold is a hot key only here, where Spark can split it.
+    return mine.join(each, "k", "left").select("doc_id", "t", "n", "k", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of `docs`.
 
-    1. Equal sets become one text. 2. Prefix n-grams, rare ones first, meet in buckets: small buckets give all
-    their pairs, large ones theirs block against block; pairs that share too little go. 3. Vertical fragments count the
-    overlaps of all pairs that are left, so no link is missed. 4. Links become components. n_links is the number of other
-    rows that the row is linked with, copies of its own text among them. Empty and null texts link with nothing
-    and are their own component. Rows with a null id get the smallest id of their component, if any.
+    1. Equal sets become one text, whatever the ids of its rows. 2. Prefix n-grams, rare ones first, meet in buckets; pairs
+    that share too little go, and texts of large buckets are cells, so that no list of a group's pairs is ever written.
+    3. The global n-gram order is cut into fragments, in which the overlaps of all pairs of a cell are counted apart and
+    summed, so no link is missed. 4. Links become components. n_links is the number of other rows that the row is
+    linked with, copies of its own text among them. Empty and null texts link with nothing and are their own
+    component. Rows with a null id link as others do and get the smallest id of their component, if any.
     """
-    mine, links = _linked(docs, part_bytes)
-    comps = materialise(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components")
-    copies = materialise(mine.where("n > 0").groupBy("k").agg(F.count("*").alias("c")), "copies")
-    both = links.unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    others = both.join(copies.withColumnRenamed("k", "y"), "y").groupBy("x").agg(F.sum("c").alias("others"))
-    weight = copies.join(others.withColumnRenamed("x", "k"), "k", "left").select("k", (F.col("c") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    at = mine.join(comps.withColumnRenamed("node", "k"), "k", "left").join(weight, "k", "left")
-    at = at.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "k")))
-    low = at.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("low"))
+    at = _components(docs, part_bytes)
+    low = at.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
     out = at.join(low, "component", "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
-    )
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component, that of the smallest id; rows with null ids stay, repeated rows don't."""
-    keep = jaccard_components(docs).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    some = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return some.unionByName(docs.where("doc_id is null"))
+    """`docs` with one row of each component: that of the smallest id, nulls last, then of the smallest hash of the text.
+
+    Rows that agree in id and text are one document, of which one row stays; so are all rows without words that
+    share an id (null: each text of such rows).
+    """
+    at = materialise(_components(docs, 8 << 20), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))
+    best = at.where("component is not null").groupBy("component").agg(F.min(key).alias("r")).select("r.doc_id", "r.t")
+    keep = best.unionAll(at.where("component is null").select("doc_id", "t").distinct())
+    keep = keep.select(F.col("doc_id").alias("_keep_id"), F.col("t").alias("_keep_t"))
+    rows = docs.select(F.xxhash64("text").alias("_keep_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_keep_row"))
+    ours = rows.join(keep, F.col("_keep_row.doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_keep_h") == F.col("_keep_t")), "left_semi")
+    if not at.groupBy("doc_id", "t").count().where("count > 1").isEmpty():
+        ours = ours.groupBy(F.col("_keep_row.doc_id").alias("_keep_id"), "_keep_h").agg(F.first("_keep_row").alias("_keep_row"))
+    return ours.select("_keep_row.*")

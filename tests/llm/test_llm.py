@@ -222,8 +222,8 @@ def test_jaccard(docs, rows):
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_jaccard_with_large_buckets(spark, seed, monkeypatch):
-    """Many texts share a passage, many differ from a common text by edits: buckets beyond SMALL, a hub beyond HUB."""
-    monkeypatch.setattr(jaccard, "HUB", 16)
+    """Many texts share a passage, many differ from a common text by edits: buckets beyond SMALL, cells beyond FEW."""
+    monkeypatch.setattr(jaccard, "FEW", 16)
     rng = random.Random(seed)
     passage, common_text = prose(rng, 40, STOCK), prose(rng, 120, STOCK).split()
     made = [(i, prose(rng, rng.randint(8, 60), STOCK) + " " + passage, "en", "a") for i in range(60)]
@@ -261,14 +261,67 @@ def test_jaccard_finds_all_links(spark, monkeypatch, crowd):
     assert sorted(tuple(r) for r in jaccard.jaccard_links(docs).collect()) == sorted(want) and len(want) > 200
 
 
+def kept_truth(rows):
+    """(id, text) of the row that stays of each component; rows without words all stay, repeated rows once."""
+    sets = [shingle_set(t) for _, t, *_ in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if sets[a] and sets[a].isdisjoint(sets[b]) is False and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = components_of(range(len(rows)), links)
+    groups = defaultdict(set)
+    for at, (i, t, *_) in enumerate(rows):
+        groups[comp[at] if sets[at] else (i, t)].add((i, t))
+    return groups
+
+
 def test_jaccard_keeps_one(docs, rows, no_docs):
+    """One row of each component: not one of each id, as rows of one id may hold different texts, and null ids may be copies."""
     kept = jaccard.keep_one(docs)
-    want = {c for _, _, c in jaccard_truth(rows) if c is not None}
-    got = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    groups = kept_truth(rows)
+    assert kept.columns == docs.columns and len(got) == len(set(got)) == len(groups)
+    for of in groups.values():
+        (mine,) = [x for x in got if x in of]
+        assert mine[0] == min((i for i, _ in of if i is not None), default=None)
+    assert [i for i, _ in got].count(3) == 2
     assert jaccard.jaccard_components(no_docs).count() == 0
 
 
+def test_jaccard_bridges_of_null_ids(spark):
+    """A text that only null ids hold links its neighbours, which are too unlike to link themselves."""
+    w = prose(random.Random(21), 100, STOCK).split()
+    one, mid, two = list(w), list(w), list(w)
+    for i in (10, 30):
+        mid[i] = two[i] = f"x{i}"
+    for i in (60, 80):
+        two[i] = f"y{i}"
+    texts = {1: one, None: mid, 2: two}
+    sets = {i: shingle_set(" ".join(t)) for i, t in texts.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert alike(1, None) and alike(None, 2) and not alike(1, 2)
+    df = make_docs(spark, [(i, " ".join(t), "en", "a") for i, t in texts.items()])
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(df).collect()} == {1: (1, 1), None: (1, 2), 2: (1, 1)}
+    assert [r["doc_id"] for r in jaccard.keep_one(df).collect()] == [1]
+
+
+def test_jaccard_cells_of_many_blocks(spark, monkeypatch):
+    """Near copies of several homes, in blocks, fragments and bins of small bounds, and marked n-grams."""
+    for name, value in (("CROWD", 16), ("FRAGMENT", 32), ("FEW", 64), ("BIN_GRAMS", 4096), ("SMALL", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(23)
+    made = []
+    for g in range(3):
+        text = prose(rng, 100, STOCK).split()
+        for i in range(50):
+            w = list(text)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = rng.choice(STOCK)
+            made.append((1000 * g + i, " ".join(w), "en", "a"))
+    sets = {i: frozenset(shingle_set(t)) for i, t, *_ in made}
+    n = Counter(x for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for x in (a, b))
+    got = jaccard.jaccard_components(make_docs(spark, made, clash=False)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: n[i] for i in sets} and sum(n.values()) > 1000
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_truth(made)
+
+
 # --- 4 language -------------------------------------------------------------------------------------------------
 
 TONGUES = {"aa": ["krzys", "wiecz", "oddzi", "przem"], "bb": ["ouai", "eaux", "oile", "eur"], "cc": ["haka", "mana", "waka", "toko"]}
