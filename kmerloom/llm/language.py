@@ -36,14 +36,15 @@ def word_cells(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], n
     Letters are lower-cased, all else separates words, and a word has a space on both sides. Every word has
     n-grams of every order. A text without letters has no words.
     """
-    joined = "\0".join(t if t else "" for t in texts).lower()
-    a = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = [(t or "").lower() for t in texts]  # may change lengths, as each text is on its own
+    a = np.frombuffer("\0".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[a]
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
         return [], np.zeros(len(texts), np.int64)
-    counts = np.diff(np.searchsorted(first, np.concatenate(([0], np.flatnonzero(a == 0), [len(a)]))))
+    begin = np.cumsum([0, *(len(t) + 1 for t in low)])  # by length: texts may hold the separator, too
+    counts = np.diff(np.searchsorted(first, begin))
     # Words one after another with one space between them, before the first and after the last.
     n = last - first
     begin = np.cumsum(n + 1) - n
