@@ -6,14 +6,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import discard, fold, materialise
 
-#: Bounds of the fit, which happens on the driver: labelled rows, and characters of all their texts.
-MAX_ROWS, MAX_CHARS = 3_000, 9_000_000
+#: Bounds of the fit, which is one task's work: labelled rows, and characters of all their texts.
+MAX_ROWS, MAX_CHARS = 6_000, 16_000_000
+#: What the task of the fit returns.
+FITTED = pa.schema([("bias", pa.float64()), ("bits", pa.int32()), ("orders", pa.list_(pa.int32())), ("weights", pa.binary())])
 
 
 @dataclass
@@ -26,7 +28,7 @@ class CharModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def cells(self, text: str) -> Iterator[np.ndarray]:
-        """Cells of the n-grams of the whole text, with repeats: ASCII letters lower-cased, a space at both ends."""
+        """Cells of the n-grams of the whole text, with repeats: letters lower-cased, a space at both ends."""
         a = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         a = np.where((a == 9) | (a == 10) | (a == 13), np.uint64(32), a)
         h, n = np.zeros(len(a), np.uint64), 0
@@ -79,17 +81,19 @@ def fit(texts: list[str], labels: np.ndarray, features: int = 40_000, epochs: in
     column = np.full(size, -1, np.int32)
     column[top] = np.arange(len(top))
     rows = [column[u][column[u] >= 0] for u in sets]
-    idx, ptr = np.concatenate(rows).astype(np.int64), np.cumsum([0, *map(len, rows)])
-    of = np.repeat(np.arange(len(rows)), np.diff(ptr))
+    idx = np.concatenate(rows)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    del sets, rows
     scale = r[top]
-    # Classes weigh alike, so a rare class isn't drowned; the bias is set back to the true rate by refitting at the end.
+    # Classes weigh alike and the bias stays that of equal classes: with a rare class's own rate, texts of one toxic passage
+    # among much other text would fall below 0.5.
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, b = np.zeros(len(top)), 0.0
     vw, vb, t = w.copy(), b, 1.0
-    norm = np.bincount(of, scale[idx] ** 2, len(rows)).max() * 0.25 + 1
+    norm = np.bincount(of, scale[idx] ** 2, len(y)).max() * 0.25 + 1
     step = 4.0 / norm
     for _ in range(epochs):
-        z = vb + np.bincount(of, (scale * vw)[idx], len(rows))
+        z = vb + np.bincount(of, (scale * vw)[idx], len(y))
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gw = scale * np.bincount(idx, g[of], len(top)) + ridge * vw
         nw, nb = vw - step * gw, vb - step * norm * 0.05 * g.sum()
@@ -106,40 +110,49 @@ def train(docs: DataFrame, labels: DataFrame, k: int = 5, max_rows: int = MAX_RO
     md5 of the id, less those whose texts don't fit in `max_chars` with the ones before (never a part of a text).
     Where texts are labelled and none fits it fails, rather than give all texts one score.
 
-    A document that `labels` lists more than once counts with its largest label; null labels and texts don't.
+    A document that `labels` lists more than once counts with its largest label, one that `docs` lists more than once with
+    the text of the smallest hash; null labels and texts don't count. The driver sees ids and lengths of the
+    chosen rows and, at the end, the weights; texts meet in one task.
     """
+    spark = docs.sparkSession
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    lean = docs.where("text is not null").select(F.col("doc_id"), F.col("text").alias("_t"))
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     # The rows are chosen by id before any text moves.
     ids = marks.where(fold(F.col("doc_id"), k) != 0).orderBy(key, "doc_id").limit(max_rows)
-    picked = lean.join(F.broadcast(ids), "doc_id").select("_t", "_toxic", F.length("_t").alias("_n"), key.alias("_k"), "doc_id")
-    texts, y, used = [], [], 0
-    for row in sorted(picked.select("_k", "doc_id", "_n").collect()):
-        if used + row["_n"] > max_chars:
-            continue
-        used += row["_n"]
-        y.append((row["doc_id"], row["_n"]))
-    chosen = set(y)
-    if not chosen and not picked.isEmpty():
+    lean = docs.where("text is not null").select("doc_id", F.col("text").alias("_t")).join(F.broadcast(ids), "doc_id")
+    picked = materialise(lean.groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"), F.min_by("_t", F.xxhash64("_t")).alias("_t")), "labelled")
+    chosen, used, every = [], 0, sorted(tuple(r) for r in picked.select(key, "doc_id", F.length("_t")).collect())  # max_rows at most
+    for _, i, n in every:
+        if used + n <= max_chars:
+            used += n
+            chosen.append((i,))
+    if every and not chosen:
         raise ValueError(f"no labelled text fits in {max_chars} characters")
-    rows = sorted((r["doc_id"], r["_toxic"], r["_t"]) for r in picked.select("doc_id", "_toxic", "_t", "_n").toLocalIterator() if (r["doc_id"], r["_n"]) in chosen)
-    texts, y = [r[2] for r in rows], np.array([r[1] for r in rows], np.int64)
-    return fit(texts, y, **how)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, y, t) for p in parts for i, y, t in zip(*(p.column(c).to_pylist() for c in ("doc_id", "_toxic", "_t")), strict=True))
+        m = fit([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), **how)
+        yield pa.RecordBatch.from_pydict({"bias": [m.bias], "bits": pa.array([m.bits], pa.int32()), "orders": [list(m.orders)], "weights": [m.weights.tobytes()]}, schema=FITTED)
+
+    if not chosen:
+        return fit([], np.zeros(0, np.int64), **how)
+    own = spark.createDataFrame(chosen, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}")
+    r = picked.join(F.broadcast(own), "doc_id").repartition(1).mapInArrow(run, "bias double, bits int, orders array<int>, weights binary").first()
+    discard(picked)
+    return CharModel(tuple(r["orders"]), r["bits"], r["bias"], np.frombuffer(bytes(r["weights"]), np.float32))
 
 
 def score(docs: DataFrame, model: CharModel, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """doc_id, `keep`, and the score, as column `name`, of each row's whole text; a null text scores as the bias does, an empty one as a space."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # 4 bytes times 2**bits
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes times 2**bits
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        for s in parts:
-            yield pd.Series([m.score(t) for t in s], dtype="float64")
+        for texts in parts:
+            yield pa.array([m.score(t.as_py()) for t in texts], pa.float64())  # one text at a time
 
-    udf = F.pandas_udf(run, "double")
-    return docs.select("doc_id", *keep, udf(F.col("text")).alias(name))
+    return docs.select("doc_id", *keep, run(F.col("text")).alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
