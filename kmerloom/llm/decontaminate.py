@@ -44,11 +44,23 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     its own length; an item without words or text is in nothing. Documents are read whole. Search: the hashes of
     a document meet the sketches; they are joined by broadcast only if Spark finds the sketches small, else by a
     shuffle that splits hot hashes. Verification: the words of the shingles themselves are compared, in the
-    documents found. Repeated documents or items (equal ids) give one row; null ids are kept as ids.
+    documents found. Every row is judged by its own text, and every item too; rows that share a doc_id and an
+    item_id give one row, that of the largest containment. Null ids are kept as ids.
     """
-    i = items.select(F.col("item_id").alias("item"), words(lower_ascii(F.col("text"))).alias("_w"))
+    out = _found(docs, items, containment, width)
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_item", "n_shared")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
+
+
+def _found(docs: DataFrame, items: DataFrame, containment: float, width: int) -> DataFrame:
+    """As contained(), for each text: (doc_id, _t, item_id, n_item, n_shared, containment), _t the text's hash."""
+    i = items.select("item_id", words(lower_ascii(F.col("text"))).alias("_w"))
     i = i.where(F.size("_w") > 0).withColumn("width", F.least(F.size("_w"), F.lit(width)))
-    cut = lambda x: x.select("doc_id", words(lower_ascii(F.col("text"))).alias("_w"))
+    # Items of one text are one item for the search.
+    i = i.withColumn("item", F.xxhash64("_w"))
+    names = i.select("item", "item_id").distinct()
+    i = i.select("item", "_w", "width").dropDuplicates(["item"])
+    cut = lambda x: x.select("doc_id", F.xxhash64("text").alias("_t"), words(lower_ascii(F.col("text"))).alias("_w"))
     d = cut(docs)
     found = None
     for k in range(1, width + 1):  # the widths below the last serve items of fewer words only
@@ -56,12 +68,14 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
         sk = sketches(of, containment).select("item", "h")
         if k < width and i.where(F.col("width") == k).isEmpty():
             continue
-        hit = _hashed(d, k, "doc_id").join(sk, "h").select("doc_id", "item").distinct()
+        hit = _hashed(d, k, "doc_id", "_t").join(sk, "h").select("doc_id", "_t", "item").distinct()
         found = hit if found is None else found.unionAll(hit).distinct()
     # A table, as the search is the costly part and three steps read what it found.
     found = materialise(found, "candidates")
-    ids = found.select(F.col("doc_id").alias("_id")).distinct()
-    near = cut(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"))
+    ids = found.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_id_t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    near = docs.select("doc_id", "text").join(ids, same & (F.xxhash64("text") == F.col("_id_t")), "left_semi")
+    near = cut(near)
     out = None
     for k in range(1, width + 1):
         own = i.where(F.col("width") == k)
@@ -69,19 +83,20 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
             continue
         of = own.select("item", F.explode(shingle_structs(k)).alias("x")).distinct()
         n = of.groupBy("item").agg(F.count("*").alias("n_item"))
-        have = near.where(F.size("_w") >= k).select("doc_id", F.explode(shingle_structs(k)).alias("x"))
-        both = have.join(of, "x").select("doc_id", "item", "x").distinct().groupBy("doc_id", "item").agg(F.count("*").alias("n_shared"))
-        pairs = found.select(F.col("doc_id").alias("_d"), F.col("item").alias("_i"))
-        both = both.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item").eqNullSafe(F.col("_i")), "left_semi")
-        part = both.join(n.withColumnRenamed("item", "_i"), F.col("item").eqNullSafe(F.col("_i"))).drop("_i").where(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - F.lit(1e-9))
+        have = near.where(F.size("_w") >= k).select("doc_id", "_t", F.explode(shingle_structs(k)).alias("x"))
+        both = have.join(of, "x").select("doc_id", "_t", "item", "x").distinct().groupBy("doc_id", "_t", "item").agg(F.count("*").alias("n_shared"))
+        pairs = found.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_id_t"), F.col("item").alias("_i"))
+        both = both.join(pairs, same & (F.col("_t") == F.col("_id_t")) & (F.col("item") == F.col("_i")), "left_semi")
+        part = both.join(n, "item").where(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - F.lit(1e-9))
         out = part if out is None else out.unionByName(part)
-    return out.select("doc_id", F.col("item").alias("item_id"), F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    out = out.join(names, "item")
+    return out.select("doc_id", "_t", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """`docs` without those that hold a benchmark item; rows with a null id are judged as one document."""
-    bad = contained(docs, items, containment).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """`docs` without the rows that hold a benchmark item; each row is judged by its own text, whatever its id."""
+    bad = _found(docs, items, containment, WIDTH).select(F.col("doc_id").alias("_bad_id"), F.col("_t").alias("_bad_text")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
 
 
 ORACLE = """
