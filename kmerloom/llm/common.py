@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,25 @@ def input_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of nodes (i for rows, number of rows + j for columns): each node that links reach with its tree's first node."""
+    rows, cols = linked.shape
+    out, done_r, done_c = [], ~linked.any(1), ~linked.any(0)
+    for seed in np.flatnonzero(~done_r):
+        if done_r[seed]:
+            continue
+        done_r[seed] = True
+        front = np.array([seed])
+        while len(front):
+            right = np.flatnonzero(linked[front].any(0) & ~done_c)
+            done_c[right] = True
+            out += [(seed, rows + j) for j in right.tolist()]
+            front = np.flatnonzero(linked[:, right].any(1) & ~done_r)
+            done_r[front] = True
+            out += [(seed, i) for i in front.tolist()]
+    return out
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long pairs: (node, component), component the smallest node reached.
 

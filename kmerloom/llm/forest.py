@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, spanning
 
 COSINE = 0.98
 #: Trees of the forest; vectors of a leaf on average; width of the spill on each side of a cut, in standard
@@ -42,44 +43,45 @@ def distinct_vectors(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "label", doubles.alias("embedding"), F.when(ok, F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.concat_ws(",", doubles.cast("array<string>"))), 256)).alias("_key"))
 
 
-def fit(points: DataFrame, trees: int = TREES, leaf: int = LEAF, rows: int = FIT_ROWS) -> dict:
-    """Cuts of each label's trees: {(label, dim): (depth, directions, cuts)}, from a bounded sample.
+def fit(points: DataFrame, trees: int = TREES, rows: int = FIT_ROWS) -> dict:
+    """Cuts of the trees: {(label, dim): [{node: cut} of each tree]}, from a bounded sample of (label, embedding, depth).
 
-    A tree halves its points at the median of their projections on a random direction, as often as its label's
-    share of all vectors needs for leaves of `leaf`. Nodes that the sample leaves empty cut at 0.
+    A tree halves its points at the median of their projections on a random direction, `depth` times. Nodes are
+    numbered as in a heap, 1 the root; only those that the sample reaches have a cut, others cut at 0. So the model
+    is bounded by the sample, whatever the number of vectors and labels.
     """
-    counts = {(str(r["label"]), r["dim"]): r["n"] for r in points.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    sample = points.orderBy(F.xxhash64("_key"), "_key").limit(rows).select("label", "embedding").toPandas()
+    sample = points.orderBy(F.xxhash64("_key"), "_key").limit(rows).select("label", "embedding", "depth").toPandas()
     model = {}
-    for (label, dim), n in counts.items():
-        depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{label}/{dim}".encode()))
-        got = sample[(sample["label"].astype(str) == label) & (sample["embedding"].map(len) == dim)]
-        x = _unit(got["embedding"], dim) if len(got) else np.zeros((0, dim))
-        directions = rng.standard_normal((trees, depth, dim))
-        directions /= np.sqrt((directions**2).sum(2, keepdims=True))
-        cuts = np.zeros((trees, 2**depth))  # a heap: node 1 is the root
+    for (label, dim), own in sample.groupby([sample["label"].astype(str), sample["embedding"].map(len)]):
+        x, depth = _unit(own["embedding"], dim), int(own["depth"].max())
+        model[(label, dim)] = cuts = [{} for _ in range(trees)]
         for t in range(trees):
             node = np.ones(len(x), np.int64)
             for d in range(depth):
-                p = x @ directions[t, d]
-                for i in range(2**d, 2 ** (d + 1)):
-                    if (at := node == i).any():
-                        cuts[t, i] = np.median(p[at])
-                node = 2 * node + (p > cuts[t, node])
-        model[(label, dim)] = (depth, directions, cuts)
+                p = x @ direction(dim, t, d)
+                for i in np.unique(node).tolist():
+                    cuts[t][i] = float(np.median(p[node == i]))
+                node = 2 * node + (p > np.array([cuts[t][i] for i in node.tolist()]))
     return model
 
 
-def leaves(x: np.ndarray, model: tuple, spill: float) -> list[list[tuple[int, int]]]:
+@lru_cache(4096)
+def direction(dim: int, tree: int, level: int) -> np.ndarray:
+    """The random direction of a level of a tree, the same for all labels and in all tasks."""
+    v = np.random.default_rng(xxhash.xxh64_intdigest(f"{dim}/{tree}/{level}".encode())).standard_normal(dim)
+    return v / np.sqrt((v**2).sum())
+
+
+def leaves(x: np.ndarray, cuts: list[dict[int, float]] | None, depth: int, trees: int, spill: float) -> list[list[tuple[int, int]]]:
     """For each vector the (tree, leaf) pairs it falls into; near a cut it goes to both sides."""
-    depth, directions, cuts = model
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(x))]
-    for t in range(len(directions)):
+    for t in range(trees):
+        of = cuts[t] if cuts else {}
         row, node = np.arange(len(x)), np.ones(len(x), np.int64)
         for d in range(depth):
-            p = x[row] @ directions[t, d]
-            gap = p - cuts[t, node]
+            p = x[row] @ direction(x.shape[1], t, d)
+            u, back = np.unique(node, return_inverse=True)
+            gap = p - np.array([of.get(i, 0.0) for i in u.tolist()])[back]
             # Vectors that are similar enough differ by so much in a random direction, in most cases.
             near = np.abs(gap) <= spill
             left, right = (gap <= 0) | near, (gap > 0) | near
@@ -120,8 +122,11 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, trees: int = TREES, l
     rows = materialise(distinct_vectors(df), "vectors")
     points = rows.where("_key is not null").groupBy("_key").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("w"))
     points = materialise(points.withColumn("p", F.xxhash64("_key")), "points")
-    model = fit(points, trees, leaf)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # directions and cuts of a bounded fit
+    # A label's trees are as deep as leaves of `leaf` vectors need; labels stay in a table, however many they are.
+    deep = points.groupBy(F.col("label").alias("_label"), F.size("embedding").alias("_dim")).agg(F.greatest(F.ceil(F.log2(F.count("*") / F.lit(leaf))), F.lit(0)).cast("int").alias("depth"))
+    deep = points.join(deep, (F.col("label") == F.col("_label")) & (F.size("embedding") == F.col("_dim"))).select("label", "embedding", "p", "w", "depth", "_key")
+    model = fit(deep, trees)
+    sent = df.sparkSession.sparkContext.broadcast(model)  # cuts of a bounded fit
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -132,14 +137,14 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, trees: int = TREES, l
                 own = p.iloc[at]
                 x = _unit(own["embedding"], k[1])
                 width = spill * np.sqrt((2 - 2 * cosine) / k[1])
-                for i, (e, w, ls) in enumerate(zip(own["p"], own["w"], leaves(x, sent.value[k], width), strict=True)):
+                for i, (e, w, ls) in enumerate(zip(own["p"], own["w"], leaves(x, sent.value.get(k), int(own["depth"].iloc[0]), trees, width), strict=True)):
                     every = np.array(ls, np.int64)
                     packed = (every[:, 0] << 48 | every[:, 1]).tobytes()
                     vec = x[i].tobytes()
                     out += [(f"{k[0]}/{k[1]}/{t}/{n}", t << 48 | n, e, w, packed, vec) for t, n in ls]
             yield pd.DataFrame(out, columns=["leaf", "at", "p", "w", "every", "vec"])
 
-    falls = materialise(points.select("label", "embedding", "p", "w").mapInPandas(assign, "leaf string, at long, p long, w long, every binary, vec binary"), "leaves")
+    falls = materialise(deep.select("label", "embedding", "p", "w", "depth").mapInPandas(assign, "leaf string, at long, p long, w long, every binary, vec binary"), "leaves")
     size = falls.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     blocked = falls.join(size, "leaf").withColumn("b", F.pmod(F.xxhash64("p", F.lit(7)), "nb").cast("int"))
     # Block b meets all blocks: as the lower or the upper one of a pair of blocks.
@@ -154,32 +159,27 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, trees: int = TREES, l
         same = bool(p["lo"].iloc[0] == p["hi"].iloc[0])
         left, right = np.flatnonzero(low), np.flatnonzero(low if same else ~low)
         n = np.zeros(len(p), np.int64)
-        a_out, b_out = [], []
-        top = {}
+        linked = np.zeros((len(left), len(right)), bool)
         for s in range(0, len(left), 500):
-            mine = left[s : s + 500]
-            i, j = np.nonzero(x[mine] @ x[right].T >= cosine)
-            i, j = mine[i], right[j]
+            i, j = np.nonzero(x[left[s : s + 500]] @ x[right].T >= cosine)
+            i += s
             if same:
                 i, j = i[i < j], j[i < j]
-            ok = ~earlier(i, j)
+            ok = ~earlier(left[i], right[j])
             i, j = i[ok], j[ok]
-            n += np.bincount(i, w[j], len(p)).astype(np.int64) + np.bincount(j, w[i], len(p)).astype(np.int64)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                ra, rb = a, b
-                while top.get(ra, ra) != ra:
-                    ra = top[ra]
-                while top.get(rb, rb) != rb:
-                    rb = top[rb]
-                if ra != rb:
-                    top[max(ra, rb)] = min(ra, rb)
-                    a_out.append(ids[a])
-                    b_out.append(ids[b])
+            n += np.bincount(left[i], w[right[j]], len(p)).astype(np.int64) + np.bincount(right[j], w[left[i]], len(p)).astype(np.int64)
+            linked[i, j] = True
+            if same:
+                linked[j, i] = True
+        tree = np.array(spanning(linked), np.int64).reshape(-1, 2)
+        every = np.concatenate((ids[left], ids[right]))
+        a_out, b_out = every[tree[:, 0]], every[tree[:, 1]]
+        a_out, b_out = a_out[a_out != b_out], b_out[a_out != b_out]
         hit = np.flatnonzero(n)
         none = lambda k: pd.array([None] * k, "Int64")
         return pd.concat([
             pd.DataFrame({"p": ids[hit], "n": n[hit], "q": none(len(hit))}),
-            pd.DataFrame({"p": np.array(a_out, np.int64), "n": np.zeros(len(a_out), np.int64), "q": pd.array(b_out, "Int64")}),
+            pd.DataFrame({"p": a_out, "n": np.zeros(len(a_out), np.int64), "q": pd.array(b_out, "Int64")}),
         ], ignore_index=True)
 
     found = materialise(cells.groupBy("leaf", "lo", "hi").applyInPandas(compare, "p long, n long, q long"), "matches")
