@@ -8,16 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, materialise
+from .common import input_bytes, materialise, release
 
 _U = np.uint64
 #: Base of the count levels; bits for each entry; hash functions; bytes of filter that one pass broadcasts.
 BASE, BITS, HASHES, MAX_FILTER_BYTES = 1.5, 8, 4, 256 << 20
 #: Documents with neighbouring ids form a block, which shares one dictionary of exact word counts.
-BLOCK_IDS, BLOCK_BYTES, SEGMENT_BYTES = 2048, 8 << 20, 8 << 20
+BLOCK_IDS, BLOCK_BYTES, SEGMENT_BYTES, LEAST_BLOCKS = 2048, 8 << 20, 8 << 20, 64
+#: Words of at least this share of a sample's tokens are dealt out as contexts by the word after them; texts of the sample.
+HOT_SHARE, HOT_TEXTS = 0.002, 2000
 #: Tokens that are counted together, and scored together.
 FLUSH, SCORED = 1_000_000, 400_000
 END, START = _U(0x5BD1E9955BD1E995), _U(0x2545F4914F6CDD1D)
@@ -60,8 +63,17 @@ def pair_key(h: np.ndarray, w: np.ndarray, segments: int) -> np.ndarray:
     return ((h // _U(segments)) & _U(0xFFFFFFFF)) << _U(32) | w >> _U(32)
 
 
+def segment_of(h: np.ndarray, w: np.ndarray, segments: int, hot: np.ndarray) -> np.ndarray:
+    """Segments of bigrams: that of the context, or for the sorted contexts in `hot` one by the word, too."""
+    seg = h % _U(segments)
+    if len(hot):
+        at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+        seg[at] = mix(h[at] * _U(3) + w[at]) % _U(segments)
+    return seg.astype(np.int64)
+
+
 class Filter:
-    """Segments of bits; an n-gram's entries lie in the segment of its context."""
+    """Segments of bits; an n-gram's entries lie in the segment of its context, those of a hot context in all."""
 
     def __init__(self, segments: int, bits: dict[int, bytes]) -> None:
         self.segments = segments
@@ -121,7 +133,22 @@ def _is_training(doc_id: str | None, k: int, out: int) -> bool:
     return zlib.crc32((doc_id or "").encode()) % k != out
 
 
-def count(docs: DataFrame, segments: int, fold: int = 10, out: int = 0) -> DataFrame:
+def hot_words(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words of the largest shares in HOT_TEXTS texts: at most 1 / HOT_SHARE of them.
+
+    They only say where counts are added up, so the sample changes no result.
+    """
+    known, c = Words(), {}
+    for r in docs.select("text").limit(HOT_TEXTS).toLocalIterator():
+        for w in (r["text"] or "").encode("utf-8", "surrogatepass").lower().split():
+            c[known[w]] = c.get(known[w], 0) + 1
+        c[int(END)] = c.get(int(END), 0) + 1
+        c[int(START)] = c.get(int(START), 0) + 1
+    total = sum(c.values())
+    return np.array(sorted(w for w, n in c.items() if n >= HOT_SHARE * total), _U)
+
+
+def count(docs: DataFrame, segments: int, hot: np.ndarray, fold: int = 10, out: int = 0) -> DataFrame:
     """Packed counts of each task, by segment: words with their blocks (`what` 0), bigrams of training texts (1).
 
     A word's row has every word of the block, trained on or not, as the block has to be told its count.
@@ -144,7 +171,7 @@ def count(docs: DataFrame, segments: int, fold: int = 10, out: int = 0) -> DataF
                 at = b == one
                 u, inv = np.unique(x[at], return_inverse=True)
                 c = np.bincount(inv, t[at], len(u)).astype(np.uint32)
-                rows += cut(0, u, u, c, int(one))
+                rows += cut(0, (u % _U(segments)).astype(np.int64), u, c, int(one))
             last = np.cumsum(n) - n
             h = np.empty_like(x)
             h[1:] = x[:-1]
@@ -152,14 +179,14 @@ def count(docs: DataFrame, segments: int, fold: int = 10, out: int = 0) -> DataF
             # Equal pairs have equal sums; the pairs themselves are those of the first places.
             _, first, c = np.unique(mix(h[t]) * _U(3) + x[t], return_index=True, return_counts=True)
             h, w = h[t][first], x[t][first]
-            rows += cut(1, h, pair_key(h, w, segments), c.astype(np.uint32), -1)
+            rows += cut(1, segment_of(h, w, segments, hot), pair_key(h, w, segments), c.astype(np.uint32), -1)
             return pd.DataFrame(rows, columns=["what", "segment", "block", "keys", "counts"])
 
-        def cut(what: int, by: np.ndarray, keys: np.ndarray, c: np.ndarray, block: int) -> list[tuple]:
-            seg = (by % _U(segments)).astype(np.int64)
+        def cut(what: int, seg: np.ndarray, keys: np.ndarray, c: np.ndarray, block: int) -> list[tuple]:
             o = np.argsort(seg, kind="stable")
-            ends = np.searchsorted(seg[o], np.arange(segments + 1))
-            return [(what, s, block, keys[o[i:j]].tobytes(), c[o[i:j]].tobytes()) for s, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
+            seg, keys, c = seg[o], keys[o], c[o]
+            first = np.flatnonzero(np.diff(seg, prepend=-1))
+            return [(what, int(seg[i]), block, keys[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(first, np.append(first, len(seg))[1:], strict=True)]
 
         for p in parts:
             for d, block, text in zip(p["d"], p["block"], p["text"], strict=True):
@@ -180,8 +207,15 @@ def count(docs: DataFrame, segments: int, fold: int = 10, out: int = 0) -> DataF
     return docs.mapInPandas(run, "what int, segment int, block int, keys binary, counts binary")
 
 
-def gather(counts: DataFrame, bits_per: float, segments: int) -> DataFrame:
-    """By segment: dictionaries for the blocks (`what` 0), the segment of the filter (1), statistics (2)."""
+def gather(counts: DataFrame, bits_per: float, segments: int, hot: np.ndarray) -> DataFrame:
+    """By segment: dictionaries for the blocks (`what` 0), the segment of the filter (1), statistics (2).
+
+    Of hot contexts a segment has a part of the bigrams only: (3) tells the part's tokens and distinct words.
+    """
+    # A hot context is known in every segment by the 32 bits that pair_key() keeps of it.
+    marks = (hot // _U(segments)) & _U(0xFFFFFFFF)
+    order = np.argsort(marks, kind="stable")
+    marks = marks[order]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         seg = int(p["segment"].iloc[0])
@@ -203,6 +237,11 @@ def gather(counts: DataFrame, bits_per: float, segments: int) -> DataFrame:
             total = np.bincount(inv, np.concatenate([np.frombuffer(b, np.uint32) for b in pairs["counts"]]), len(u)).astype(np.int64)
             ctx, start = np.unique(u >> _U(32), return_index=True)
             seen, fan = np.add.reduceat(total, start), np.diff(np.append(start, len(u)))
+            if len(marks):
+                at = np.minimum(np.searchsorted(marks, ctx), len(marks) - 1)
+                spread = marks[at] == ctx
+                part = np.stack([order[at[spread]], seen[spread], fan[spread]]).astype(np.int64)
+                out.append((3, seg, -1, part.tobytes(), b""))
             bits = Filter.build([(u, PAIR, level(total)), (ctx, CONTEXT, level(seen)), (ctx, FANOUT, level(fan))], bits_per)
             out.append((1, seg, -1, bits, b""))
             out.append((2, seg, -1, np.array([total.sum(), len(u), (total == 1).sum(), (total == 2).sum()], np.int64).tobytes(), b"p"))
@@ -214,8 +253,13 @@ def gather(counts: DataFrame, bits_per: float, segments: int) -> DataFrame:
 class Scorer:
     """Absolute discounting: p(w | h) = max(c(hw) - d, 0) / c(h) + d * fan-out(h) / c(h) * p(w), the counts by probes."""
 
-    def __init__(self, filt: Filter, n: int, v: int, d1: float, d2: float) -> None:
+    def __init__(self, filt: Filter, n: int, v: int, d1: float, d2: float, hot: np.ndarray | None = None, hot_seen: np.ndarray | None = None, hot_fan: np.ndarray | None = None) -> None:
         self.filter, self.n, self.v, self.d1, self.d2 = filt, n, v, d1, d2
+        self.hot = np.zeros(0, _U) if hot is None else hot
+        self.hot_seen, self.hot_fan = hot_seen, hot_fan  # exact
+
+    def segments_of(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return segment_of(h, w, self.filter.segments, self.hot)
 
     def word_p(self, c: np.ndarray) -> np.ndarray:
         """From exact counts; unknown words share one class."""
@@ -234,9 +278,13 @@ class Scorer:
         ckey = (ctx // _U(f.segments)) & _U(0xFFFFFFFF)
         seen = TYPICAL[f.probe(cseg, ckey, CONTEXT)]
         fan = np.minimum(TYPICAL[f.probe(cseg, ckey, FANOUT)], seen)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, ctx), len(self.hot) - 1)
+            mine = self.hot[at] == ctx
+            seen[mine], fan[mine] = self.hot_seen[at[mine]], self.hot_fan[at[mine]]
         pair = np.zeros(len(hp))
         known = np.flatnonzero((seen * fan)[cb] > 0)
-        pair[known] = TYPICAL[f.probe((hp[known] % _U(f.segments)).astype(np.int64), pair_key(hp[known], wp[known], f.segments), PAIR)]
+        pair[known] = TYPICAL[f.probe(self.segments_of(hp[known], wp[known]), pair_key(hp[known], wp[known], f.segments), PAIR)]
         seen, fan = seen[cb], fan[cb]
         pair = np.minimum(pair, seen)
         base = self.word_p(c[first])
@@ -256,21 +304,30 @@ def lm_scores(docs: DataFrame, fold: int = 10, out: int = 0, max_filter_bytes: i
     the training texts are counted by task, packed, and added up by segment of the context's hash. Exact word
     counts go back to the blocks that asked, as dictionaries; bigram counts, context counts and the number of
     words after a context go, by level, into the filter. The filter is broadcast. If it takes more than
-    `max_filter_bytes`, its segments go out in as many passes, each of which scores the tokens whose contexts it
-    holds, so a broadcast never exceeds that bound; the passes' sums are added. Repeated rows are scored each.
-    Without training texts the filter is empty and all words are alike. Null ids hash as empty text.
+    `max_filter_bytes`, its segments go out in as many passes, one after another, each of which scores the tokens whose
+    bigrams it would hold and writes its sums; a broadcast never exceeds that bound, and it is destroyed after its pass.
+    The bigrams of very frequent contexts are dealt over all segments. Repeated rows are scored each.
+    Without training texts the filter is empty and all words are alike. Null ids hash as empty text; in blocks, ids that
+    are no numbers go by their hash and null ids by that of the text.
     """
-    segments = max(16, min(1 << 15, -(-input_bytes(docs) // SEGMENT_BYTES)))
-    n_blocks = max(4, min(1 << 15, -(-input_bytes(docs) // BLOCK_BYTES)))
+    spark = docs.sparkSession
+    segments = max(16, min(1 << 18, -(-input_bytes(docs) // SEGMENT_BYTES)))
+    n_blocks = max(LEAST_BLOCKS, min(1 << 20, -(-input_bytes(docs) // BLOCK_BYTES)))
     kind = docs.schema["doc_id"].dataType
-    block = F.pmod(F.floor(F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)) / BLOCK_IDS).cast("long"), F.lit(n_blocks)).cast("int")
-    lean = docs.select(F.col("doc_id").cast("string").alias("d"), block.alias("block"), "text")
-    got = materialise(gather(count(lean, segments, fold, out), BITS, segments), "ngrams")
+    name = F.col("doc_id").cast("string")
+    block = F.coalesce(F.floor(F.expr("try_cast(cast(doc_id as string) as double)") / BLOCK_IDS).cast("long"), F.xxhash64(name, F.when(name.isNull(), F.col("text"))))
+    lean = docs.select(name.alias("d"), F.pmod(block, F.lit(n_blocks)).cast("int").alias("block"), "text")
+    hot = hot_words(docs)
+    got = materialise(gather(count(lean, segments, hot, fold, out), BITS, segments, hot), "ngrams")
+    release(spark)
     sums = {"w": np.zeros(4, np.int64), "p": np.zeros(4, np.int64)}
-    for r in got.where("what = 2").select("keys", "counts").collect():  # four numbers a segment
+    for r in got.where("what = 2").select("keys", "counts").toLocalIterator():  # four numbers a segment
         sums[bytes(r["counts"]).decode()] += np.frombuffer(r["keys"], np.int64)
     n, v = int(sums["w"][0]), int(sums["w"][1])
     discounts = _discount(*sums["w"][2:].tolist()), _discount(*sums["p"][2:].tolist())
+    seen, fan = np.zeros(len(hot)), np.zeros(len(hot))
+    for r in _hot_parts(got).collect():  # one row a hot context
+        seen[r["i"]], fan[r["i"]] = r["seen"], r["fan"]
     sizes = sorted((r["segment"], r["n"]) for r in got.where("what = 1").select("segment", F.octet_length("keys").alias("n")).collect())
     passes: list[list[int]] = [[]]
     room = max_filter_bytes
@@ -285,13 +342,22 @@ def lm_scores(docs: DataFrame, fold: int = 10, out: int = 0, max_filter_bytes: i
     both = words.unionAll(texts).repartition(n_blocks, "block").sortWithinPartitions("block", "what")
     total = None
     for k, own in enumerate(passes):
-        mine = set(own)
-        part = got.where("what = 1").where(F.col("segment").isin(own)) if len(passes) > 1 else got.where("what = 1")
+        mine = np.zeros(segments, bool)
+        mine[own] = True
+        part = got.where("what = 1")
+        if len(passes) > 1:
+            at = spark.createDataFrame([(s,) for s in own] or [(-1,)], "segment int")
+            part = part.join(F.broadcast(at), "segment", "left_semi")
         bits = {int(r["segment"]): bytes(r["keys"]) for r in part.select("segment", "keys").toLocalIterator()}
-        scorer = Scorer(Filter(segments, bits), n, v, *discounts)
-        # The tokens whose contexts no pass holds fall to the first.
-        rest = set(range(segments)) - {s for s, _ in sizes} if k == 0 else set()
-        here = _score(both, scorer, np.isin(np.arange(segments), list(mine | rest)), k == 0)
+        scorer = Scorer(Filter(segments, bits), n, v, *discounts, hot, seen, fan)
+        if k == 0:  # the tokens whose segments no pass holds fall to the first
+            mine |= ~np.isin(np.arange(segments), [s for s, _ in sizes])
+        sent = spark.sparkContext.broadcast((scorer, mine))  # at most max_filter_bytes of filter
+        here = _score(both, sent, k == 0)
+        if len(passes) > 1:
+            here = materialise(here, "pass")
+            sent.destroy()
+            release(spark)
         total = here if total is None else total.unionAll(here)
     if len(passes) > 1:
         n_passes = len(passes)
@@ -300,11 +366,23 @@ def lm_scores(docs: DataFrame, fold: int = 10, out: int = 0, max_filter_bytes: i
     return total.select(F.col("d").cast(kind).alias("doc_id"), (F.crc32(F.coalesce("d", F.lit("")).cast("binary")) % fold == out).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _score(both: DataFrame, scorer: Scorer, mine: np.ndarray, first: bool) -> DataFrame:
-    sent = both.sparkSession.sparkContext.broadcast(scorer)  # at most max_filter_bytes of filter
+def _hot_parts(got: DataFrame) -> DataFrame:
+    """(i, seen, fan): tokens after, and distinct words after, each hot context, summed over the segments."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for b in p["keys"]:
+                x = np.frombuffer(b, np.int64).reshape(3, -1)
+                yield pd.DataFrame({"i": x[0], "seen": x[1], "fan": x[2]})
+
+    return got.where("what = 3").select("keys").mapInPandas(run, "i long, seen long, fan long").groupBy("i").agg(F.sum("seen").alias("seen"), F.sum("fan").alias("fan"))
+
+
+def _score(both: DataFrame, sent: Broadcast, first: bool) -> DataFrame:
+    """Sums by row of the tokens that the pass with (scorer, its segments) in `sent` is for."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = sent.value
+        s, mine = sent.value
         known = Words()
         get = known.__getitem__
         block, told, have = None, [], None
@@ -326,7 +404,7 @@ def _score(both: DataFrame, scorer: Scorer, mine: np.ndarray, first: bool) -> Da
             c = have[1][at][inv]
             base = np.log10((c + 0.1) / norm)
             lp = np.zeros(len(w))
-            own = np.flatnonzero(mine[(h % _U(s.filter.segments)).astype(np.int64)])
+            own = np.flatnonzero(mine[s.segments_of(h, w)])
             lp[own] = s.logp(h[own], w[own], c[own])
             add = lambda x: np.add.reduceat(x, begin)
             k = 1 if first else 0
