@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -185,6 +186,19 @@ def test_decontamination(spark, docs, rows):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(i or -1 for i, *_ in rows if i not in bad)
 
 
+def test_decontamination_judges_rows(spark):
+    """Rows that share an id, null included, aren't pooled, and neither are items that share an id."""
+    item = "one two three four five six seven eight nine ten eleven twelve".split()
+    half, rest = " ".join(item[:8]), " ".join(item[6:])
+    made = [(None, half + " and so on", "en", "a"), (None, "then " + rest, "en", "a"), (None, "harmless words of no item at all", "en", "a"), (7, half, "en", "a"), (7, rest, "en", "a"), (8, " ".join(item), "en", "a"), (8, "clean text of the same id", "en", "a"), (None, "x " + " ".join(item), "en", "a")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, "another item of the same id and length in words as it"), (None, " ".join(item))], "item_id long, text string")
+    df = make_docs(spark, made)
+    got = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in decontaminate.contained(df, bench).collect()}
+    assert got == {(d, i): (8, 8) for d in (8, None) for i in (1, None)}
+    kept = sorted(r["text"] for r in decontaminate.drop_contaminated(df, bench).collect())
+    assert kept == sorted(t for _, t, *_ in made if " ".join(item) not in t)
+
+
 def test_decontamination_without_rows(docs, no_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained(docs, none).count() == 0
@@ -327,6 +341,71 @@ def test_jaccard_cells_of_many_blocks(spark, monkeypatch):
 TONGUES = {"aa": ["krzys", "wiecz", "oddzi", "przem"], "bb": ["ouai", "eaux", "oile", "eur"], "cc": ["haka", "mana", "waka", "toko"]}
 
 
+def test_texts_with_the_separator():
+    m = language.Mixture(["aa"], np.ones((1, language.CELLS)))
+    assert [x[0] for x in m.infer(["abc\0def", "ghi", "\0", None, "\0x"])] == ["aa", "aa", "und", "und", "aa"]
+    assert language.word_cells(["ab\0c", "", "d", "\0\0e f"])[1].tolist() == [2, 0, 1, 2]
+
+
+def mixture_truth(train, texts):
+    """lang_pred of each text, by dictionaries: the same model, EM text by text in double precision."""
+    def cells(t):
+        return [[(k, f" {w} "[i : i + k]) for k in (1, 2, 3) for i in range(len(w) + 3 - k) if k > 1 or f" {w} "[i] != " "] for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+
+    count = defaultdict(Counter)
+    for lang, t in train:
+        count[lang].update(g for w in cells(t) for g in w)
+    langs = sorted(count)
+    total = Counter()
+    for c in count.values():
+        total.update(c)
+    every, cells_n = sum(total.values()), language.CELLS
+    pool = lambda g: (total[g] + 0.1) / (every + 0.1 * cells_n)
+    p = lambda lang, g: math.log((count[lang][g] + 20 * pool(g)) / (sum(count[lang].values()) + 20))
+    out = []
+    for t in texts:
+        words_ = cells(t)
+        if not words_:
+            out.append(("und", 0.0))
+            continue
+        like = np.array([[sum(p(x, g) for g in w) for x in langs] for w in words_])
+        best, cost = None, 6.0 * math.log(max(len(words_), 2))
+        for x in range(len(langs)):
+            v = like[:, x].sum()
+            if best is None or v > best[0]:
+                best = (v, np.eye(len(langs))[x])
+        on = np.ones(len(langs), bool)
+        for left in range(len(langs), 1, -1):
+            share = on / on.sum()
+            for _ in range(12):
+                top = like.max(1, keepdims=True)
+                joint = np.exp(np.maximum(like - top, -60)) * share
+                new = (joint / joint.sum(1, keepdims=True)).mean(0)
+                done = np.abs(new - share).max() < 1e-4
+                share = new
+                if done:
+                    break
+            v = (np.log((np.exp(np.maximum(like - top, -60)) * share).sum(1)) + top[:, 0]).sum() - cost * (left - 1)
+            if v > best[0] + 1e-6:
+                best = (v, share)
+            on[np.where(on, share, np.inf).argmin()] = False
+        out.append((langs[int(best[1].argmax())], float(best[1].max())))
+    return out
+
+
+def test_language_against_plain_em(spark):
+    """Mixtures of two and three languages, held against an EM over dictionaries (n-grams instead of cells)."""
+    rng = random.Random(31)
+    made = []
+    for i in range(160):
+        parts = rng.sample(list(TONGUES), rng.choice([1, 1, 2, 3]))
+        made.append((i, " ".join(prose(rng, rng.randint(4, 30), TONGUES[x]) for x in parts), parts[0], "s"))
+    got = {r["doc_id"]: r for r in language.language(make_docs(spark, made, clash=False)).collect()}
+    want = mixture_truth([(lang, t) for i, t, lang, _ in made if crc(i) % 4 != 2], [t for _, t, *_ in made])
+    assert np.mean([got[i]["lang_pred"] == w[0] for i, w in enumerate(want)]) > 0.98
+    assert np.mean([abs(got[i]["score"] - w[1]) < 0.02 for i, w in enumerate(want)]) > 0.97
+
+
 def test_language(spark, no_docs):
     rng = random.Random(5)
     made = [(i, prose(rng, rng.randint(5, 60), TONGUES[lang]), lang, "s") for i, lang in ((i, rng.choice(list(TONGUES))) for i in range(300))]
@@ -421,6 +500,26 @@ def test_embeddings(spark, monkeypatch):
     assert forest.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_recall_at_the_defaults(spark):
+    """Pairs around the threshold, the hardest to find: links of the query's own parameters against all pairs."""
+    rng = np.random.default_rng(4)
+    made = []
+    for i in range(1500):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cos = rng.uniform(0.975, 0.99)
+        made += [(2 * i, a.tolist(), 0), (2 * i + 1, (cos * a + math.sqrt(1 - cos * cos) * b).tolist(), 0)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicates(df).collect()}
+    x = np.array([v for _, v, _ in made])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert want.sum() > 1500 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(3000))
+
+
 # --- 7 WARC -----------------------------------------------------------------------------------------------------
 
 
@@ -627,6 +726,29 @@ def test_secrets(spark, no_docs):
     assert "aaaaaaaaaaaa" not in text[14][0]
 
 
+def test_secrets_of_long_texts(spark):
+    """A run of a million letters, ten thousand spans in one text, and starts that lead nowhere: in time that grows with the text."""
+    run, many = "abcdexyz" * 125_000, " ".join(f"{i:016x}" for i in range(10_000))
+    odd = ["eyJ" * 100_000, "xoxb-" * 50_000, "token " * 50_000, "-----BEGIN " + "A" * 300_000, "a.b://" * 50_000, "password:" * 30_000]
+    df = make_docs(spark, [(i, t, "en", "s") for i, t in enumerate([run, many, *odd])], clash=False)
+    t = time.time()
+    got = {r["doc_id"]: r for r in secrets.secrets_digest(df).collect()}
+    assert time.time() - t < 60
+    for i, text in enumerate([run, many, *odd]):
+        s = base_spans(text)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(s).encode()).hexdigest()
+    assert got[1]["n_hex"] == 10_000
+
+
+def test_one_secret_is_one_value(spark):
+    """Whatever the key name, quotes or kind of span it is found under: five owners hold it, so nothing of it is live."""
+    v = "b7db7aa4a5fcc78305b7"
+    texts = [f"token={v}", f'password: "{v}"', f"api_key = '{v}'", f"raw {v} hex", f"http://user:{v}@host/", "secret=0123456789abcdef77"]
+    got = {r["doc_id"]: r for r in secrets.secrets_digest(make_docs(spark, [(i, t, "en", f"owner{i}") for i, t in enumerate(texts)])).collect()}
+    assert [got[i]["n_live"] for i in range(6)] == [0, 0, 0, 0, 0, 2] and got[0]["n_owners"] == 5 and got[5]["n_owners"] == got[5]["n_repos"] == 1
+    assert got[4]["spans"] == base_spans(texts[4])[0]
+
+
 def test_ownership(spark):
     c = spark.createDataFrame([("h", f"r{i % 7}", f"o{i % 6}") for i in range(100)] + [("k", "r", "o"), ("k", None, None)], "hash string, repo string, owner string")
     got = {r["hash"]: tuple(r)[1:] for r in secrets.ownership(c).collect()}
