@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import decontaminate, jaccard, mixing, secrets, toxicity
-from kmerloom.llm.common import materialise, table
+from kmerloom.llm.common import discard, materialise, scratch_tables, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each written to the shared folder and read again.
+
+    What a stage has written on its way, and the table of the stage before it, go as soon as its own table stands.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_tables(spark) as written:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            written.remove(docs._kmerloom_path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
