@@ -149,8 +149,8 @@ def effect_sizes(x: DataFrame) -> DataFrame:
 def spectral_p(satc: DataFrame) -> DataFrame:
     """P10: anchor, statistic, pval_sample_spectral_sum, from sums over columns and rows alone.
 
-    With p the row shares and n the column sums, the statistic is the mean over columns of |x / n - p|^2, which
-    the sparse entries give as (sum x^2 / n^2 - 2 sum p x / n) + K sum p^2.
+    With p the row shares and n the column sums, the statistic is the mean over columns of |x / n - p|^2. The
+    sparse entries give it: (x / n - p)^2 of each, and for the empty cells p^2 as often as a target is missing.
     """
     keys = cell(satc)
     x = satc.groupBy("anchor", "target", *keys).agg(F.sum("count").cast("double").alias("x"))
@@ -163,10 +163,11 @@ def spectral_p(satc: DataFrame) -> DataFrame:
     p = r.join(m.select("anchor", "m"), "anchor").withColumn("p", F.col("r") / F.col("m"))
     rows = p.groupBy("anchor").agg(F.sum(F.col("p") * (1 - F.col("p"))).alias("q"), F.sum(F.col("p") ** 2).alias("d"), F.sum((F.col("p") * (1 - F.col("p"))) ** 2).alias("e"))
     e = x.join(n, ["anchor", *keys]).join(p.select("anchor", "target", "p"), ["anchor", "target"])
-    cross = e.groupBy("anchor").agg(F.sum((F.col("x") / F.col("n")) ** 2 - 2 * F.col("p") * F.col("x") / F.col("n")).alias("w"))
+    full = e.groupBy("anchor", "target", "p").agg(F.sum((F.col("x") / F.col("n") - F.col("p")) * (F.col("x") / F.col("n") - F.col("p"))).alias("w"), F.count("*").alias("c"))
+    cross = full.join(m.select("anchor", F.col("k").alias("_k")), "anchor").groupBy("anchor").agg(F.sum(F.col("w") + (F.col("_k") - F.col("c")) * F.col("p") * F.col("p")).alias("w"))
     a = m.join(rows, "anchor").join(cross, "anchor")
     k, q, d = F.col("k"), F.col("q"), F.col("d")
-    a = a.withColumn("t", (F.col("w") + k * d) / k).withColumn("mu", q * F.col("i1") / k)
+    a = a.withColumn("t", F.col("w") / k).withColumn("mu", q * F.col("i1") / k)
     sig = q * F.col("i3") + F.col("e") * F.col("i4") + F.col("i3") + (1 - 2 * d + 3 * d * d) * F.col("i5") + (F.col("i1") ** 2 - F.col("i2")) * q * q
     a = a.withColumn("v", sig / (k * k)).withColumn("sigma", F.col("v") - F.col("mu") ** 2)
     ratio = F.col("t") / F.col("sigma")

@@ -118,12 +118,6 @@ def test_results_do_not_depend_on_partitions(spark):
     pd.testing.assert_frame_equal(a, b)
 
 
-def test_large_anchor_has_null_statistics(spark):
-    c = counts(spark, (0, "X", "A", 9), (1, "X", "C", 9))
-    r = stats_group.optimised_stats(c, max_cells=3).first()
-    assert r["anchor"] == "X" and r["pval_opt"] is None
-
-
 def test_sparse_tables_agree_with_dense_ones():
     rng = np.random.default_rng(3)
     x = rng.poisson(1.0, (30, 8)).astype(float)
