@@ -107,14 +107,32 @@ def predecessors(reads: DataFrame, extenders: DataFrame, k: int, gap: int) -> Da
     return r.select("read_id", "extender", "pos", pred.alias("pred")).where(is_valid(F.col("pred")))
 
 
-def barcoded_counts(pairs_of_reads: DataFrame, anchor_len: int, target_len: int, barcode_len: int = 16, umi_len: int = 12, threshold: int = 0, gap: int = 0) -> DataFrame:
+def knee(reads: DataFrame) -> DataFrame:
+    """(sample_id, least): reads of the last barcode before the bend of a sample's curve of reads by rank, both as logarithms.
+
+    The bend is the point farthest above the straight line from the first to the last barcode; ties go to more
+    reads. The curve is a histogram, a row for each number of reads, so the windows see no barcodes.
+    """
+    n = reads.groupBy("sample_id", "barcode").agg(F.count("*").alias("n")).groupBy("sample_id", "n").agg(F.count("*").alias("c"))
+    down = Window.partitionBy("sample_id").orderBy(F.desc("n"))
+    every = Window.partitionBy("sample_id")
+    x = n.withColumn("x", F.log(F.sum("c").over(down))).withColumn("y", F.log("n"))
+    x0, x1, y0, y1 = F.min("x").over(every), F.max("x").over(every), F.max("y").over(every), F.min("y").over(every)
+    above = (F.col("y") - y0) * (x1 - x0) - (F.col("x") - x0) * (y1 - y0)
+    return x.withColumn("above", F.round(above, 9)).groupBy("sample_id").agg(F.max(F.struct("above", "n"))["n"].alias("least"))
+
+
+def barcoded_counts(pairs_of_reads: DataFrame, anchor_len: int, target_len: int, barcode_len: int = 16, umi_len: int = 12, threshold: int | str = 0, gap: int = 0) -> DataFrame:
     """Counts by (sample_id, barcode, anchor, target) of distinct molecules.
 
     `pairs_of_reads` has sample_id, r1 (barcode, then UMI) and r2. A molecule is a distinct (barcode, UMI, anchor,
-    target); barcodes with fewer than `threshold` reads are left out.
+    target); barcodes with fewer than `threshold` reads are left out, with "knee" those below a sample's knee().
     """
     r = pairs_of_reads.where(F.length("r1") >= barcode_len + umi_len).select("sample_id", F.substring("r1", 1, barcode_len).alias("barcode"), F.substring("r1", barcode_len + 1, umi_len).alias("umi"), F.col("r2").alias("seq"))
-    if threshold:
+    if threshold == "knee":
+        good = r.groupBy("sample_id", "barcode").agg(F.count("*").alias("n")).join(knee(r), "sample_id").where("n >= least")
+        r = r.join(good.select("sample_id", "barcode"), ["sample_id", "barcode"], "left_semi")
+    elif threshold:
         good = r.groupBy("sample_id", "barcode").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)
         r = r.join(good.drop("n"), ["sample_id", "barcode"], "left_semi")
     p = enumerate_pairs(r, anchor_len, target_len, gap).select("sample_id", "barcode", "umi", "anchor", "target").distinct()

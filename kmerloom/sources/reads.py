@@ -42,8 +42,17 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-FASTA with sequences over any number of lines: file, record (offset order is not kept), header, seq."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("file"), "value").where(F.trim("value") != "")
+    """Multi-FASTA with sequences over any number of lines: file, header, seq (order is not kept).
+
+    A record begins at a `>` that begins a line; others belong to the header they stand in. What comes before the
+    first record of a file is none.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    # Of a file's first piece alone the `>` is not cut off by the separator.
+    first = raw.where("_at = 0").groupBy("file").agg(F.min("_id").alias("_first"))
+    raw = raw.join(F.broadcast(first), "file", "left")  # a row a file
+    lead = F.coalesce(F.col("_id") == F.col("_first"), F.lit(False))
+    raw = raw.where(~lead | F.col("value").startswith(">")).select("file", F.when(lead, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("value"))
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.upper(F.regexp_replace(F.expr("substring(value, length(regexp_extract(value, '^([^\\r\\n]*)', 1)) + 1)"), r"\s", ""))
     return raw.select("file", head.alias("header"), body.alias("seq"))

@@ -108,6 +108,15 @@ class RunReport:
         self.values[f"T_{name}"] = round(time.time() - t, 3)
         return out
 
+    def sized(self, name: str, df: DataFrame, path: str) -> int:
+        """S_<name>: MiB of the files below a path, in whatever store Spark reaches it."""
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(at).getLength()
+        self.values[f"S_{name}"] = round(size / (1 << 20), 3)
+        return size
+
     def to_json(self) -> str:
         peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
         return json.dumps(self.values | {"M_driver": round(peak, 1)}, sort_keys=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +138,12 @@ def artifacts(lines: DataFrame, most: int = 32) -> DataFrame:
     return out
 
 
-# Public sequencing adapters, from which the dictionary's 12-mers are cut.
+def artifacts_file(spark: SparkSession, path: str) -> DataFrame:
+    """artifacts() of a text file."""
+    return artifacts(spark.read.text(path))
+
+
+# Public sequencing adapters and primers, from which the dictionary's 12-mers are cut.
 ADAPTERS = (
     "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA",
     "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT",
@@ -145,13 +152,21 @@ ADAPTERS = (
     "GATCGTCGGACTGTAGAACTCTGAAC",
     "AATGATACGGCGACCACCGAGATCTACAC",
     "CAAGCAGAAGACGGCATACGAGAT",
+    "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCT",
+    "CAAGCAGAAGACGGCATACGAGATCGGTCTCGGCATTCCTGCTGAACCGCTCTTCCGATCT",
+    "GATCGGAAGAGCGGTTCAGCAGGAATGCCGAG",
+    "GATCGGAAGAGCACACGTCTGAACTCCAGTCAC",
+    "ATCTCGTATGCCGTCTTCTGCTTG",
+    "TCGTCGGCAGCGTCAGATGTGTATAAGAGACAG",
+    "GTCTCGTGGGCTCGGAGATGTGTATAAGAGACAG",
+    "GTTCAGAGTTCTACAGTCCGACGATC",
 )
 
 
-def adapter_dictionary(spark: SparkSession, k: int = 12) -> DataFrame:
-    """K-mers of the public adapters and their reverse complements, as a list of artifacts."""
+def adapter_dictionary(spark: SparkSession, k: int = 12, adapters: Iterable[str] = ADAPTERS) -> DataFrame:
+    """K-mers of adapters and their reverse complements, as a list of artifacts; `adapters` takes any other list."""
     comp = str.maketrans("ACGT", "TGCA")
-    words = {s[i : i + k] for a in ADAPTERS for s in (a, a.translate(comp)[::-1]) for i in range(len(s) - k + 1)}
+    words = {s[i : i + k] for a in adapters for s in (a, a.translate(comp)[::-1]) for i in range(len(s) - k + 1)}
     return spark.createDataFrame([(w,) for w in sorted(words)], "artifact string")
 
 
