@@ -156,6 +156,15 @@ def annotate_extendors(stats: DataFrame, lookup: DataFrame, n: int, k: int = 15,
     return out.withColumns({c: F.coalesce(c, F.lit("-")) for c in wide.columns if c != "anchor"})
 
 
+def annotate(table: DataFrame, column: str, keys: list[str], lookup: DataFrame, k: int = 15, run: int = 0) -> DataFrame:
+    """`table` with query_res and query_stats of the sequences in `column`; `keys` tell its rows apart."""
+    name = F.concat_ws(":", *keys).alias("qid")
+    hits = query(table.select(name, F.col(column).alias("seq")), lookup, k, run)
+    both = report_concise(hits).join(report_stats(hits), "qid")
+    out = table.withColumn("qid", name).join(both, "qid", "left").drop("qid")
+    return out.withColumns({c: F.coalesce(c, F.lit("-")) for c in ("query_res", "query_stats")})
+
+
 def query_many(inputs: dict[str, DataFrame], lookup: DataFrame, k: int = 15, run: int = 0) -> dict[str, DataFrame]:
     """Several inputs against one table, which is kept in memory and on disk between them."""
     kept = lookup.persist()

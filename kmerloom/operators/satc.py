@@ -25,10 +25,12 @@ def count_satc(pairs: DataFrame, count_cap: int | None = None) -> DataFrame:
 
 
 def anchors_above(satc: DataFrame, threshold: int = 5) -> DataFrame:
-    """records of anchors that a sample counts more than `threshold` times."""
-    keys = [*cell(satc), "anchor"]
-    keep = satc.groupBy(*keys).agg(F.sum("count").alias("n")).where(F.col("n") > threshold).drop("n")
-    return satc.join(keep, keys, "left_semi")
+    """records of anchors that a sample counts more than `threshold` times.
+
+    A running total beside each record rather than a join with the totals, so the counts are made once.
+    """
+    total = F.sum("count").over(Window.partitionBy(*cell(satc), "anchor"))
+    return satc.withColumn("_n", total).where(F.col("_n") > threshold).drop("_n")
 
 
 def without_runs(satc: DataFrame, n: int = 8) -> DataFrame:
@@ -50,14 +52,23 @@ def without_artifacts(satc: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def hamming_filter(satc: DataFrame, least: int) -> DataFrame:
-    """anchors of a sample with two targets at least `least` apart; 0 keeps all, one target never suffices."""
+    """anchors of a sample with two targets at least `least` apart; 0 keeps all, one target never suffices.
+
+    The distance to the first target tells most groups apart by itself: one of `least` is a pair found, and if all are
+    below half of it no two targets are `least` apart. Only groups in between compare their targets, and of those
+    only one that is half as far from the first can be in a pair.
+    """
     if least == 0:
         return satc
+    every = Window.partitionBy(*cell(satc), "anchor")
+    x = satc.withColumn("_d", hamming(F.col("target"), F.min("target").over(every))).withColumn("_far", F.max("_d").over(every))
+    found = x.where(F.col("_far") >= least).drop("_d", "_far")
+    open_ = x.where((F.col("_far") < least) & (2 * F.col("_far") >= least))
     keys = [*cell(satc), "anchor"]
-    a = satc.select(*keys, "target").distinct()
-    b = a.withColumnRenamed("target", "_other")
-    far = a.join(b, keys).where(F.col("target") < F.col("_other")).where(hamming(F.col("target"), F.col("_other")) >= least)
-    return satc.join(far.select(*keys).distinct(), keys, "left_semi")
+    a = open_.select(*keys, "target", "_d").distinct()
+    b = a.where(2 * F.col("_d") >= least).select(*keys, F.col("target").alias("_other"), F.col("_d").alias("_e"))
+    far = a.join(b, keys).where((F.col("_d") + F.col("_e") >= least) & (hamming(F.col("target"), F.col("_other")) >= least))
+    return found.unionByName(open_.drop("_d", "_far").join(far.select(*keys).distinct(), keys, "left_semi"))
 
 
 def accept(satc: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -76,9 +87,13 @@ def anchor_totals(satc: DataFrame) -> DataFrame:
 
 
 def anchor_filter(satc: DataFrame, count: int = 50, targets: int = 1, samples: int = 1) -> DataFrame:
-    """anchors with M > count, distinct targets > targets, samples > samples (all strict)."""
-    ok = anchor_totals(satc).where((F.col("M") > count) & (F.col("anch_uniqTargs") > targets) & (F.col("number_nonzero_samples") > samples))
-    return satc.join(ok.select("anchor"), "anchor", "left_semi")
+    """records of anchors that above_thresholds() keeps."""
+    return satc.join(above_thresholds(anchor_totals(satc), count, targets, samples).select("anchor"), "anchor", "left_semi")
+
+
+def above_thresholds(totals: DataFrame, count: int = 50, targets: int = 1, samples: int = 1) -> DataFrame:
+    """Anchors with M > count, distinct targets > targets, samples > samples (all strict)."""
+    return totals.where((F.col("M") > count) & (F.col("anch_uniqTargs") > targets) & (F.col("number_nonzero_samples") > samples))
 
 
 def rich_samples(satc: DataFrame, least: int) -> DataFrame:
