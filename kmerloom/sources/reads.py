@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,16 +86,22 @@ def _bam_records(data: bytes) -> Iterator[tuple[str, str]]:
         at += 4 + size
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Names and sequences of BAM files, a file a task."""
+def bam_reads(files: DataFrame) -> DataFrame:
+    """Names and sequences of BAM files (path, content): file, header, seq."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for file, data in zip(p["path"], p["content"], strict=True):
-                rows = list(_bam_records(bytes(data)))
-                yield pd.DataFrame({"file": file, "header": [r[0] for r in rows], "seq": [r[1] for r in rows]})
+                records = _bam_records(bytes(data))
+                while rows := list(islice(records, 100_000)):
+                    yield pd.DataFrame({"file": file, "header": [r[0] for r in rows], "seq": [r[1] for r in rows]})
+
+    return files.select("path", "content").mapInPandas(run, "file string, header string, seq string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, header string, seq string")
+
+def read_bam(spark: SparkSession, path: str) -> DataFrame:
+    """bam_reads() of files, a file a task; a file has at most 2 GB."""
+    return bam_reads(spark.read.format("binaryFile").load(path))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import resource
+import struct
 import time
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +99,37 @@ def pseudo_alignment(satc: DataFrame, anchors: DataFrame, n: int, target_len: in
     return seq.select(*keys, F.concat(F.lit(">"), F.concat_ws("_", *keys), F.lit("\n"), wrapped).alias("value"))
 
 
+def bam_files(reads: DataFrame, member_bytes: int = 60_000) -> DataFrame:
+    """Reads (header, seq) as BAM files without alignments, one a partition: path, content. sources.reads.bam_reads() reads them."""
+    code = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}  # fixed by the format
+
+    def record(name: str, seq: str) -> bytes:
+        codes = [code[c] for c in seq] + [0] * (len(seq) % 2)
+        body = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+        head = struct.pack("<iiBBHHHiiii", -1, -1, len(name) + 1, 0, 4680, 0, 4, len(seq), -1, -1, 0)
+        data = head + name.encode() + b"\0" + body + b"\xff" * len(seq)
+        return struct.pack("<i", len(data)) + data
+
+    def member(data: bytes) -> bytes:
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(data) + z.flush()
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
+        return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data, out = b"BAM\1" + struct.pack("<ii", 0, 0), []
+        for p in parts:
+            for name, seq in zip(p["header"], p["seq"], strict=True):
+                data += record(name, seq)
+                while len(data) > member_bytes:
+                    out.append(member(data[:member_bytes]))
+                    data = data[member_bytes:]
+        out += [member(data), member(b"")]
+        yield pd.DataFrame({"path": [f"part-{TaskContext.get().partitionId():05}.bam"], "content": [b"".join(out)]})
+
+    return reads.select("header", "seq").mapInPandas(run, "path string, content binary")
+
+
 class RunReport:
     """Seconds, rows and sizes of a run's steps, as JSON."""
 
