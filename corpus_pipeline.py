@@ -36,9 +36,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words from: their columns, size, source_size, target and taken."""
-    out = mixing.mix_documents(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return out.where("taken > 0").select(*docs.columns, "size", "source_size", "target", "taken")
+    """The documents that the mix takes words from: their columns, size, source_size, target and taken.
+
+    Where a document's column has one of these names, the mix's own is called mix_<name>.
+    """
+    # Other columns travel under names of their own, as theirs may clash with those of the mix.
+    rest = {c: f"_keep{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "source"))}
+    lean = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(k) for c, k in rest.items()])
+    out = mixing.mix_documents(lean, keep=tuple(rest.values())).where("taken > 0")
+    own = [F.col(rest.get(c, c)).alias(c) for c in docs.columns]
+    return out.select(*own, *[F.col(c).alias(f"mix_{c}" if c in rest else c) for c in ("size", "source_size", "target", "taken")])
 
 
 STAGES = [
