@@ -36,8 +36,14 @@ def digest(payload: bytes) -> str:
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a URI as Spark writes it; stores that pyarrow can't reach by themselves, such as viewfs, are an error."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    elif scheme == "viewfs":
+        raise ValueError(f"name the store behind {uri}: archives are written and read by pyarrow.fs")
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
