@@ -714,7 +714,7 @@ def _(d: Data) -> DataFrame:
 # --- statistics -------------------------------------------------------------------------------------------------
 
 
-@query("p1_split")
+@query("p1_split", _STAR + ", n AS (SELECT anchor, sample_id, sum(count) AS n FROM star GROUP BY ALL) SELECT anchor, sum(floor(n * 0.25))::BIGINT AS n_train, sum(n)::BIGINT AS n FROM n GROUP BY anchor")
 def _(d: Data) -> DataFrame:
     def run(p):
         x, targets, cols = stats_group.dense(p, ["sample_id"])
@@ -850,10 +850,14 @@ def _(d: Data) -> DataFrame:
     return classify.base_edit(_long(d))
 
 
-@query("d6_distributions")
+@query("d6_distributions", """WITH k AS (SELECT unnest(range(0, 21))::INT AS n),
+m AS (SELECT n, exp(n * ln(2.5) - 2.5 - lgamma(n + 1)) AS p, exp(lgamma(21) - lgamma(n + 1) - lgamma(21 - n)) * 0.1 ** n * 0.9 ** (20 - n) AS b FROM k)
+SELECT n, round(p, 9) AS poisson_pmf, round(least(1.0, sum(p) OVER (ORDER BY n)), 9) AS poisson_cdf, round(b, 9) AS binomial_pmf, round(least(1.0, sum(b) OVER (ORDER BY n)), 9) AS binomial_cdf,
+ round(lgamma(21) - lgamma(n + 1) - lgamma(21 - n), 9) + 0.0 AS log_choose FROM m""", ints=("n",))
 def _(d: Data) -> DataFrame:
     rows = [(n, compactors.poisson_pmf(n, 2.5), compactors.poisson_cdf(n, 2.5), compactors.binomial_pmf(n, 20, 0.1), compactors.binomial_cdf(n, 20, 0.1), compactors.log_choose(20, n)) for n in range(21)]
-    return d.spark.createDataFrame(rows, "n int, poisson_pmf double, poisson_cdf double, binomial_pmf double, binomial_cdf double, log_choose double")
+    t = d.spark.createDataFrame(rows, "n int, poisson_pmf double, poisson_cdf double, binomial_pmf double, binomial_cdf double, log_choose double")
+    return t.select("n", *[(F.round(c, 9) + 0.0).alias(c) for c in t.columns[1:]])
 
 
 # --- order and sets ---------------------------------------------------------------------------------------------
