@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import BASES, hamming, has_run
 from ..session import written
+from .fdr import numbered
 
 #: Columns that classification drops from an anchor table.
 DROPPED = ("pval_opt", "pval_sample_spectral_sum", "pval_base", "avg_no_homopolymer_targets", "avg_hamming_distance_max_target", "avg_hamming_distance_all_pairs", "avg_edit_distance_max_target", "avg_edit_distance_all_pairs")
@@ -28,9 +29,10 @@ def long_targets(stats: DataFrame) -> DataFrame:
 def ranks(rows: DataFrame) -> DataFrame:
     """anchor_index by (samples desc, anchor), extendor_order in the anchor by (count desc, target).
 
-    The index is a dense rank over distinct anchors, of which there are as many as passed all filters.
+    The index counts distinct anchors, in ranges where they are many.
     """
-    a = rows.groupBy("anchor").agg(F.max("number_nonzero_samples").alias("_s")).withColumn("anchor_index", F.row_number().over(Window.orderBy(F.desc("_s"), "anchor"))).drop("_s")
+    a = rows.groupBy("anchor").agg(F.max("number_nonzero_samples").alias("_s"))
+    a = numbered(a, [("_s", True), ("anchor", False)], "anchor_index").drop("_s")
     return rows.join(a, "anchor").withColumn("extendor_order", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("target_count"), "target")))
 
 

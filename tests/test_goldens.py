@@ -203,6 +203,14 @@ def test_correction_in_ranges_of_equal_p(spark):
     assert got.keys() == want.keys() and all(got[a] == pytest.approx(want[a]) if want[a] is not None else got[a] is None for a in want)
 
 
+def test_places_in_ranges(spark):
+    rng = random.Random(17)
+    made = [(rng.randint(0, 3), f"a{i:03}") for i in range(300)]
+    got = fdr.numbered(spark.createDataFrame(made, "s int, a string"), [("s", True), ("a", False)], "at", one_task=20)
+    assert [(r["s"], r["a"]) for r in sorted(got.collect(), key=lambda r: r["at"])] == sorted(made, key=lambda x: (-x[0], x[1]))
+    assert sorted(r["at"] for r in got.collect()) == list(range(1, 301))
+
+
 @pytest.mark.parametrize("least", [1, 2, 3, 5, 6])
 def test_hamming_filter_by_all_pairs(spark, least):
     rng = random.Random(least)
