@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, input_bytes, materialise, release
+from .common import components, input_bytes, materialise, release, spanning
 
 WIDTH = 5
 #: Similarity as a fraction of integers: linked when DENOMINATOR * overlap >= NUMERATOR * union.
@@ -21,10 +21,10 @@ FRAGMENT = 4096
 MAX_FREQUENT = 500_000
 #: Up to so many texts that share a prefix n-gram are paired at once; more are a crowd, compared block against block.
 SMALL = 16
-#: Texts in one block of a crowd, and n-grams in one block of a cell.
-CROWD, BLOCK_GRAMS = 1024, 1 << 20
+#: Texts in one block of a crowd; n-grams in one block of a cell, and of a block those that are counted together.
+CROWD, BLOCK_GRAMS, COUNTED = 1024, 4 << 20, 1 << 20
 #: Cells of up to so many pairs are counted many at a time, with so many n-grams together.
-FEW, BIN_GRAMS = 4096, 2 << 20
+FEW, BIN_GRAMS = 4096, 512 << 10
 #: Bits of the sketch by which unlike texts of large buckets are told apart.
 BITS = 1024
 #: Class that marks, among postings, an n-gram whose bucket is known to be large.
@@ -114,6 +114,10 @@ def describe(docs: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _never_null(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit("\0"))
+
+
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
@@ -368,16 +372,22 @@ def cells(few: DataFrame, large: DataFrame, sizes: DataFrame) -> DataFrame:
 def placed(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """(bin, lo, hi, i, j, side, k, n, w): the texts of each cell in blocks, each two blocks of it a unit.
 
-    A unit of many pairs is a bin of its own, others share bins by their lower home, salted where it has many cells.
+    A unit of many pairs is a bin of its own. Others share bins by the lowest home that their lower home meets, so that the
+    cells of a small group, which share texts, mostly share a bin; where that is too much for one, by the lower home, too.
     """
     m = materialise(members.join(sizes.select("k", "n", "w"), "k"), "members")
     of = lambda s: F.greatest(F.ceil(F.sum(F.when(F.col("side") == s, 1)) / F.lit(CROWD)), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n"))) / F.lit(BLOCK_GRAMS)), F.lit(1)).cast("int")
     size = m.groupBy("lo", "hi").agg(of(0).alias("_b0"), of(1).alias("_b1"), F.count("*").alias("_m"), F.sum("n").alias("_n"))
-    size = size.where("_m > 1").withColumn("_few", (F.col("_m") * F.col("_m") <= FEW) & (F.col("_n") <= BIN_GRAMS))
+    size = size.where("_m > 1").withColumn("_few", (F.col("_m") * F.col("_m") <= FEW) & (F.col("_n") <= BLOCK_GRAMS))
     size = materialise(size, "cells")
-    bins = max(1, -(-(size.where("_few").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]) // BIN_GRAMS))
-    often = size.where("_few").groupBy("lo").agg(F.ceil(F.sum("_n") / F.lit(BIN_GRAMS)).alias("_salt"))
-    m = m.join(size.drop("_n", "_m"), ["lo", "hi"]).join(often, "lo", "left")
+    few = size.where("_few").select("lo", "hi")
+    meets = few.select("lo", F.col("lo").alias("_at")).unionAll(few.select(F.col("hi").alias("lo"), F.col("lo").alias("_at"))).groupBy("lo").agg(F.min("_at").alias("_at"))
+    # A text of several cells weighs once in the bin that they share.
+    load = m.join(few.join(meets, "lo"), ["lo", "hi"]).select("_at", "k", "n").distinct().groupBy("_at").agg(F.sum("n").alias("_g"))
+    load = materialise(load, "loads")
+    bins = max(1, -(-load.agg(F.coalesce(F.sum("_g"), F.lit(0))).first()[0] // BIN_GRAMS))
+    salts = load.select("_at", F.ceil(F.col("_g") / F.lit(BLOCK_GRAMS)).alias("_salt"))
+    m = m.join(size.drop("_n", "_m").join(meets, "lo", "left").join(salts, "_at", "left"), ["lo", "hi"])
     mine = F.when(F.col("side") == 0, F.pmod(F.xxhash64("k", "hi"), "_b0")).otherwise(F.pmod(F.xxhash64("k", "lo"), "_b1")).cast("int")
     others = F.when((F.col("side") == 0) & (F.col("lo") != F.col("hi")), F.col("_b1")).otherwise(F.col("_b0"))
     m = m.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
@@ -387,13 +397,27 @@ def placed(members: DataFrame, sizes: DataFrame) -> DataFrame:
     # In a unit of two blocks of one home the second block is the second side.
     side = F.when(same, (F.col("mine") != i).cast("int")).otherwise(F.col("side"))
     m = m.withColumn("i", i).withColumn("j", j).withColumn("side", side)
-    shared = F.pmod(F.xxhash64("lo", F.pmod(F.xxhash64("hi"), F.coalesce("_salt", F.lit(1)))), F.lit(bins))
+    shared = F.pmod(F.xxhash64("_at", F.pmod(F.xxhash64("lo", F.when(F.col("_salt") > 16, F.col("hi"))), "_salt")), F.lit(bins))
     at = F.when(F.col("_few"), shared).otherwise(F.xxhash64("lo", "hi", "i", "j").bitwiseOR(F.lit(-(1 << 63))))  # those of their own are negative
     return m.select(at.alias("bin"), "lo", "hi", "i", "j", "side", "k", "n", "w")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], often: Often, same: bool) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, COUNTED n-grams against COUNTED; `same`: left is right."""
+    parts = [np.cumsum([len(x) for x in sets]) // COUNTED for sets in (left, right)]
+    cuts = [[*np.flatnonzero(np.diff(p, prepend=-1)), len(p)] for p in parts]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for a, b in zip(cuts[0], cuts[0][1:], strict=False):
+        for c, d in zip(cuts[1], cuts[1][1:], strict=False):
+            if same and d <= a:
+                out[a:b, c:d] = out[c:d, a:b].T
+            else:
+                out[a:b, c:d] = _overlap(left[a:b], right[c:d], often)
+    return out
+
+
 def _overlap(left: list[np.ndarray], right: list[np.ndarray], often: Often) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set: partial counts by fragment, added up."""
+    """Partial counts by fragment of the global order, added up."""
     if len(left) * len(right) <= 16:
         out = np.zeros((len(left), len(right)), np.int64)
         for i, a in enumerate(left):
@@ -431,58 +455,25 @@ def _overlap(left: list[np.ndarray], right: list[np.ndarray], often: Often) -> n
     return total
 
 
-def _joined(linked: np.ndarray) -> list[tuple[int, int]]:
-    """(left, right) as nodes i and len(left) + j: for each node that links reach, its tree's first node."""
-    rows, cols = linked.shape
-    out, done_r, done_c = [], ~linked.any(1), ~linked.any(0)
-    for seed in np.flatnonzero(~done_r):
-        if done_r[seed]:
-            continue
-        done_r[seed] = True
-        front = np.array([seed])
-        while len(front):
-            right = np.flatnonzero(linked[front].any(0) & ~done_c)
-            done_c[right] = True
-            out += [(seed, rows + j) for j in right.tolist()]
-            front = np.flatnonzero(linked[:, right].any(1) & ~done_r)
-            done_r[front] = True
-            out += [(seed, i) for i in front.tolist()]
-    return out
-
-
 def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarray, links: bool) -> DataFrame:
     """Rows (what, x, y, n) from the units of `place`. 0: x is linked with n rows of other texts. 1: x and y are connected.
 
-    2, if `links`: x and y are linked. The n-grams of a text go once to each bin. There they are numbered in the global
+    2, if `links`: x and y are linked. A text goes once to each bin. There its n-grams are numbered in the global
     order, which is cut into fragments; a unit's overlaps are counted in each fragment and summed by pair.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Often(often))  # MAX_FREQUENT n-grams
     bins = place.groupBy("k").agg(F.collect_set("bin").alias("bins")).join(sizes.select("k", "rep"), "k")
-    bins = bins.select("k", "bins", F.col("rep.doc_id").cast("string").alias("_d"), F.col("rep.t").alias("_t"))
-    named = _named(docs)
-    # Rows that agree in id and text are one.
-    texts = named.join(bins, named["doc_id"].eqNullSafe(bins["_d"]) & (named["t"] == bins["_t"])).groupBy("k").agg(F.first("text").alias("text"), F.first("bins").alias("bins"))
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
-        cols = ["bin", "what", "lo", "hi", "i", "j", "side", "k", "n", "w", "grams"]
-        for p in parts:
-            rows = []
-            for k, text, bins in zip(p["k"], p["text"], p["bins"], strict=True):
-                s = shingles(text, known).tobytes()
-                rows += [(int(b), 0, 0, 0, 0, 0, 0, k, 0, 0, s) for b in bins]
-                if len(rows) > 2000:
-                    yield pd.DataFrame(rows, columns=cols)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=cols)
-
-    schema = "bin long, what int, lo long, hi long, i int, j int, side int, k long, n long, w long, grams binary"
-    asked = place.select("bin", F.lit(1).alias("what"), "lo", "hi", "i", "j", "side", "k", "n", "w", F.lit(None).cast("binary").alias("grams"))
+    bins = bins.select("k", "bins", _never_null(F.col("rep.doc_id").cast("string")).alias("r"), F.col("rep.t").alias("t"))
+    # Rows that agree in id and text are one; they are made so where the join has put them.
+    texts = docs.select(_never_null(F.col("doc_id").cast("string")).alias("r"), F.xxhash64("text").alias("t"), "text").join(bins, ["r", "t"])
+    texts = texts.groupBy("r", "t").agg(F.first("k").alias("k"), F.first("text").alias("text"), F.first("bins").alias("bins"))
+    none = [F.lit(0).cast(t).alias(c) for c, t in (("what", "int"), ("lo", "long"), ("hi", "long"), ("i", "int"), ("j", "int"), ("side", "int"))]
+    pieces = texts.select(F.explode("bins").alias("bin"), *none, "k", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("w"), "text")
+    asked = place.select("bin", F.lit(1).alias("what"), "lo", "hi", "i", "j", "side", "k", "n", "w", F.lit(None).cast("string").alias("text"))
 
     def count(p: pd.DataFrame) -> pd.DataFrame:
-        have = p[p["what"] == 0].drop_duplicates("k")
-        grams = {k: np.frombuffer(b, _U) for k, b in zip(have["k"], have["grams"], strict=True)}
+        known, have = Words(), p[p["what"] == 0].drop_duplicates("k")
+        grams = {k: shingles(t, known) for k, t in zip(have["k"], have["text"], strict=True)}
         ask = p[p["what"] == 1].sort_values(["lo", "hi", "i", "j", "side", "k"])
         cols = {c: ask[c].to_numpy(np.int64) for c in ("lo", "hi", "i", "j", "side", "k", "n", "w")}
         head = np.ones(len(ask), bool)
@@ -503,7 +494,7 @@ def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarr
             kl, kr, nl, nr, wl, wr = (cols[c][s] for c in ("k", "n", "w") for s in (left, right))
             if not len(kl) or not len(kr):
                 continue
-            c = _overlap([grams[k] for k in kl.tolist()], [grams[k] for k in kr.tolist()], sent.value)
+            c = overlaps([grams[k] for k in kl.tolist()], [grams[k] for k in kr.tolist()], sent.value, one)
             linked = DENOMINATOR * c >= NUMERATOR * (nl[:, None] + nr[None, :] - c)
             if one:
                 np.fill_diagonal(linked, False)
@@ -516,7 +507,7 @@ def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarr
                 near = linked.T @ wl
                 hit = np.flatnonzero(near)
                 put(0, kr[hit], np.zeros(len(hit), np.int64), near[hit])
-            tree = np.array(_joined(linked), np.int64).reshape(-1, 2)
+            tree = np.array(spanning(linked), np.int64).reshape(-1, 2)
             every = np.concatenate((kl, kr))
             x, y = every[tree[:, 0]], every[tree[:, 1]]
             put(1, x[x != y], y[x != y], np.zeros(int((x != y).sum()), np.int64))
@@ -526,7 +517,7 @@ def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarr
         join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         return pd.DataFrame({"what": join(what), "x": join(xs), "y": join(ys), "n": join(ns)})
 
-    return texts.mapInPandas(cut, schema).unionAll(asked).groupBy("bin").applyInPandas(count, "what int, x long, y long, n long")
+    return pieces.unionByName(asked).groupBy("bin").applyInPandas(count, "what int, x long, y long, n long")
 
 
 def _linked(docs: DataFrame, part_bytes: int, links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -124,6 +124,49 @@ def test_lm_scores(docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_scores_against_plain_discounting(docs, rows):
+    """The model by dictionaries: counts at their levels' means (hot contexts exact), absolute discounts, word probabilities below."""
+    hot = set(lm.hot_words(docs).tolist())
+    known = lm.Words()
+    key = lambda w: {"<": int(lm.START), ">": int(lm.END)}[w] if w in ("<", ">") else known[w]
+
+    def mean(c):
+        same = [x for x in range(max(1, c // 2), 2 * c + 2) if math.floor(math.log(x) / math.log(lm.BASE) + 1e-9) == math.floor(math.log(c) / math.log(lm.BASE) + 1e-9)]
+        return (same[0] + same[-1]) / 2
+
+    pairs, seen, fan, one = Counter(), Counter(), Counter(), Counter()
+    for i, t, *_ in rows:
+        if crc(i) % 10:
+            w = ["<", *words(t), ">"]
+            pairs.update(zip(w, w[1:], strict=False))
+            one.update(w[1:])
+    for (h, _), c in pairs.items():
+        seen[h] += c
+        fan[h] += 1
+    ones, twos = (lambda c, k: sum(v == k for v in c.values())), 2
+    d = [min(0.95, max(0.1, ones(c, 1) / (ones(c, 1) + 2 * ones(c, twos)))) if ones(c, 1) + ones(c, twos) else 0.5 for c in (one, pairs)]
+    n, v = sum(one.values()), len(one)
+
+    def p(h, w):
+        base = max(one[w] - d[0], 0) / n + d[0] * v / n / (v + 1)
+        if not seen[h]:
+            return base
+        exact = key(h) in hot
+        c_h, f = (seen[h], fan[h]) if exact else (mean(seen[h]), min(mean(fan[h]), mean(seen[h])))
+        c = min(mean(pairs[h, w]), c_h) if pairs[h, w] else 0
+        return max(c - d[1], 0) / c_h + d[1] * f / c_h * base
+
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        w = ["<", *words(t), ">"]
+        want[i, len(w) - 1].append(sum(math.log10(p(h, x)) for h, x in zip(w, w[1:], strict=False)))
+    off = []
+    for r in lm.lm_scores(docs).collect():
+        off.append(min(abs(r["score"] - x) for x in want[r["doc_id"], r["n_tokens"]]) / r["n_tokens"])
+    # The filter gives some pairs a count that they haven't.
+    assert np.median(off) < 0.01 and np.mean(off) < 0.03
+
+
 def test_lm_passes_agree(docs):
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], round(r["score"], 6), round(r["base_score"], 6), r["n_known"])
     one, many = (sorted(map(key, lm.lm_scores(docs, max_filter_bytes=b).collect()), key=str) for b in (1 << 28, 40_000))
@@ -318,7 +361,7 @@ def test_jaccard_bridges_of_null_ids(spark):
 
 def test_jaccard_cells_of_many_blocks(spark, monkeypatch):
     """Near copies of several homes, in blocks, fragments and bins of small bounds, and marked n-grams."""
-    for name, value in (("CROWD", 16), ("FRAGMENT", 32), ("FEW", 64), ("BIN_GRAMS", 4096), ("SMALL", 4)):
+    for name, value in (("CROWD", 16), ("FRAGMENT", 32), ("COUNTED", 500), ("FEW", 64), ("BIN_GRAMS", 4096), ("SMALL", 4)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(23)
     made = []
@@ -452,6 +495,34 @@ def test_toxicity(spark, no_docs):
     assert toxicity.toxicity(df, labels.where("toxic > 1")).count() == 403
 
 
+def test_toxicity_against_plain_nb_regression():
+    """Log-count ratios by dictionaries of n-grams, the regression by plain gradient descent to its end."""
+    rng = random.Random(43)
+    texts, y = [], []
+    for i in range(160):
+        bad = i % 5 == 0
+        w = [rng.choice(STOCK[:20] + (["grubnik", "vile"] if bad else ["friend"])) for _ in range(12)]
+        texts.append(" ".join(w + ["grubnik" if bad and rng.random() < 0.9 else "other"]))
+        y.append(int(bad))
+    m = toxicity.fit(texts, np.array(y), epochs=4000)
+    grams = [{f" {t} "[i : i + k] for k in (4, 5, 6) for i in range(len(t) + 3 - k)} for t in texts]
+    pos, neg = Counter(), Counter()
+    for g, k in zip(grams, y, strict=True):
+        (pos if k else neg).update(g)
+    names = [g for g in pos | neg if pos[g] + neg[g] >= 3]
+    r = {g: math.log(((pos[g] + 1) / (sum(y) + 2)) / ((neg[g] + 1) / (len(y) - sum(y) + 2))) for g in names}
+    names = [g for g in names if r[g]]
+    x = np.array([[r[g] * (g in own) for g in names] for own in grams])
+    share = np.array([0.5 / sum(y) if k else 0.5 / (len(y) - sum(y)) for k in y])
+    w, b, step = np.zeros(len(names)), 0.0, 1 / (0.25 * (share[:, None] * x * x).sum() + 1)
+    for _ in range(60_000):
+        g = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - step * (x.T @ g + 2e-4 * w), b - step * g.sum()
+    want = 1 / (1 + np.exp(-(x @ w + b)))
+    got = np.array([m.score(t) for t in texts])
+    assert np.corrcoef(got, want)[0, 1] > 0.995 and np.abs(got - want).mean() < 0.05 and ((got >= 0.5) == (want >= 0.5)).mean() > 0.98
+
+
 def test_toxicity_passes_over_texts_that_do_not_fit(spark):
     rng = random.Random(8)
     made = [(i, prose(rng, 30, STOCK) + (" you grubniks" if i % 3 == 0 else " you others"), "en", "s") for i in range(200)]
@@ -782,3 +853,46 @@ def test_pipeline(spark, tmp_path):
     assert run.where("doc_id = 500 and text like '%b7db7aa4a5%'").count() == 0
     size = run.agg(F.sum("taken")).first()[0]
     assert abs(size - 1.5 * 60 * 120) < 120
+
+
+def test_pipeline_on_odd_rows(spark, docs, rows, no_docs, tmp_path):
+    """Null ids, texts and sources, repeated rows, a very long text and clashing columns go through every stage; so do no rows."""
+    labels = spark.createDataFrame([(None, 1, 1), (3, None, None), (3, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[2][1]), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        d = common.materialise(stage(spark, d, str(tmp_path)), name)
+        seen.append([(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()])
+        assert d.columns[: len(docs.columns)] == docs.columns and d.where("_w is null or _w <> 'clash _w'").count() == 0
+    every = [(i, t) for i, t, *_ in rows]
+    # One class of labels is that class's rate, which is not toxic here.
+    assert sorted(seen[0], key=str) == sorted(every, key=str)
+    groups = kept_truth(rows)
+    assert len(seen[1]) == len(groups) and all(sum(x in of for x in seen[1]) == 1 for of in groups.values())
+    item = shingle_set(rows[2][1])
+    assert sorted(seen[2], key=str) == sorted((x for x in seen[1] if len(item & shingle_set(x[1])) < 0.75 * len(item)), key=str) and len(seen[2]) < len(seen[1])
+    assert sorted(seen[3], key=str) == sorted(seen[2], key=str)
+    size = sum(len(SPLIT.findall(t or "")) for _, t in seen[3])
+    taken = d.agg(F.sum("taken")).first()[0]
+    assert abs(taken - 1.5 * size) <= 4 and "mix_size" in d.columns and all(SPLIT.findall(t or "") for _, t in seen[4])
+    e = no_docs
+    for name, stage in corpus_pipeline.STAGES:
+        e = common.materialise(stage(spark, e, str(tmp_path)), name)
+        assert e.count() == 0
+
+
+def test_quality_of_odd_rows(spark):
+    """Ties at the threshold are kept, repeated rows and labels and clashing columns change nothing."""
+    rng = random.Random(41)
+    made = [(i, prose(rng, 40, STOCK), "en", "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    one = {r["doc_id"]: (r["perplexity"], r["threshold"], r["keep"]) for r in quality.quality(make_docs(spark, made), labels).collect()}
+    again = quality.quality(make_docs(spark, made + made[:30] + [(None, None, None, None)] * 2), labels.unionAll(labels)).collect()
+    assert len(again) == 152
+    for r in again:
+        if r["doc_id"] is not None:
+            p, t, k = one[r["doc_id"]]
+            assert r["perplexity"] == pytest.approx(p) and r["keep"] == (r["perplexity"] <= r["threshold"])
+    fresh = [r for r in again if r["doc_id"] is not None and crc(r["doc_id"]) % quality.HELD == 0]
+    assert fresh and max(r["perplexity"] for r in fresh) == pytest.approx(fresh[0]["threshold"]) and all(r["keep"] for r in fresh)
