@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, input_bytes, materialise, release, spanning
+from .common import components, discard, input_bytes, materialise, release, spanning
 
 WIDTH = 5
 #: Similarity as a fraction of integers: linked when DENOMINATOR * overlap >= NUMERATOR * union.
@@ -25,8 +25,10 @@ SMALL = 16
 CROWD, BLOCK_GRAMS, COUNTED = 1024, 4 << 20, 1 << 20
 #: Cells of up to so many pairs are counted many at a time, with so many n-grams together.
 FEW, BIN_GRAMS = 4096, 512 << 10
-#: Bits of the sketch by which unlike texts of large buckets are told apart.
-BITS = 1024
+#: Least and most bits of the sketch by which unlike texts of large buckets are told apart; between them at least one an n-gram.
+BITS, MOST_BITS = 1024, 1 << 17
+#: log2 of the most bits of the filter over the texts to compare; it lets all of them through, so it changes no result.
+FILTER_BITS = 27
 #: Class that marks, among postings, an n-gram whose bucket is known to be large.
 LARGE = 255
 
@@ -72,11 +74,26 @@ def set_key(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """BITS bits, each the parity of how many n-grams of the set fall to it.
+    """Bits, each the parity of how many n-grams of the set fall to it: a power of 2 that is no less than the set's size.
 
-    The sets of two texts differ in at least as many n-grams as their bits differ.
+    The sets of two texts differ in at least as many n-grams as their bits differ. In a fixed number of bits all
+    long texts would look alike. Half as many bits of the same set are the first half xor the second.
     """
-    return np.packbits(np.bincount(((s >> _U(10)) % _U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    bits = min(MOST_BITS, max(BITS, 1 << max(len(s) - 1, 0).bit_length()))
+    return np.packbits(np.bincount(((s >> _U(10)) % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def halved(sketch: bytes, size: int) -> bytes:
+    """The sketch of the same set in `size` bytes."""
+    a = np.frombuffer(sketch, _U)
+    while len(a) * 8 > size:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.tobytes()
+
+
+def too_far(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """At similarity t two sets differ in (1 - t) / (1 + t) of their sizes' sum at most, and at least in as many bits."""
+    return apart.astype(np.int64) * (DENOMINATOR + NUMERATOR) > (DENOMINATOR - NUMERATOR) * sizes
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -279,7 +296,10 @@ def buckets(posts: DataFrame, parts_n: int) -> DataFrame:
     schema = "what int, x long, y long, n long, tok long"
     # A marked n-gram's own posting went with the direct rows, too.
     posts = materialise(posts, "postings")
-    return posts.where("part >= 0").groupBy("part").applyInPandas(run, schema).unionAll(posts.where("part < 0").mapInPandas(direct, schema))
+    out = materialise(posts.where("part >= 0").groupBy("part").applyInPandas(run, schema).unionAll(posts.where("part < 0").mapInPandas(direct, schema)), "buckets")
+    discard(posts)
+    release(posts.sparkSession)
+    return out
 
 
 def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +311,7 @@ def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def homes(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((x, home), (tok, x, home) of buckets in which texts of several homes meet).
+    """((x, home), (tok, x, home) of buckets in which texts of several homes meet, or those of their own home).
 
     A text's home is the largest of its large buckets, so that near copies, which share most of their prefixes, nearly
     all have one home however many they are.
@@ -301,57 +321,99 @@ def homes(large: DataFrame) -> tuple[DataFrame, DataFrame]:
     home = large.join(size, "tok").groupBy("x").agg(F.max(F.struct("_m", "tok"))["tok"].alias("home"))
     home = materialise(home, "homes")
     m = large.join(home, "x")
-    several = m.groupBy("tok").agg(F.count("*").alias("_m"), F.min("home").alias("_a"), F.max("home").alias("_b")).where("_a <> _b")
+    several = m.groupBy("tok").agg(F.count("*").alias("_m"), F.min("home").alias("_a"), F.max("home").alias("_b")).where("_m > 1 and (_a <> _b or _a = tok)")
     return home, m.join(several.select("tok", F.ceil(F.col("_m") / F.lit(CROWD)).cast("int").alias("_of")), "tok")
 
 
-def crowd_cells(m: DataFrame, sizes: DataFrame) -> DataFrame:
+def crowd_cells(m: DataFrame, home: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lo, hi, k): texts of two homes, lo and hi, that have a partner in the other one by size and sketch in some large bucket.
 
-    At similarity t two sets differ in (1 - t) / (1 + t) of their sizes' sum at most, and at least in the bits in
-    which their sketches differ. A bucket is dealt into blocks, and each two blocks meet in a group. What leaves a
-    group grows with its texts and homes, not with its pairs.
+    lo = hi: texts that have one in their own home; they meet in its bucket. A bucket is dealt into blocks, and each
+    two blocks meet in a group. What leaves a group grows with its texts and homes, not with its pairs.
     """
     m = m.withColumn("mine", F.pmod(F.xxhash64("x", "tok"), F.col("_of")).cast("int"))
     m = m.select("tok", "x", "home", "mine", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("other"))
     m = m.select("tok", "x", "home", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    m = m.join(sizes.select(F.col("k").alias("x"), F.col("n").alias("size"), "sketch"), "x")
+    m = m.join(_sketches(home, sizes).withColumnRenamed("k", "x"), "x")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["home", "x"])
+        p = p.sort_values(["size", "x"])
         x, home, block, n = (p[c].to_numpy(np.int64) for c in ("x", "home", "mine", "size"))
-        bits = np.stack([np.frombuffer(b, _U) for b in p["sketch"]])
-        two = p["i"].iloc[0] != p["j"].iloc[0]
-        # Sorted by home, the texts after those of one's own home are its partners.
-        after = np.searchsorted(home, home, "right")
-        lo, hi, ks = [], [], []
-        for i in np.flatnonzero(after < len(x)):
-            js = np.arange(after[i], len(x))
-            js = js[(DENOMINATOR * np.minimum(n[js], n[i]) >= NUMERATOR * np.maximum(n[js], n[i]))]
-            if two:
-                js = js[block[js] != block[i]]
-            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1)
-            js = js[apart * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (n[js] + n[i])]
-            if len(js):
-                there = np.unique(home[js])
-                for a, b, k in ((np.full(len(there), home[i]), there, np.full(len(there), x[i])), (np.full(len(js), home[i]), home[js], x[js])):
-                    lo.append(a)
-                    hi.append(b)
-                    ks.append(k)
-        if not lo:
-            return pd.DataFrame({"lo": [], "hi": [], "k": []}).astype("int64")
-        return pd.DataFrame({"lo": np.concatenate(lo), "hi": np.concatenate(hi), "k": np.concatenate(ks)}).drop_duplicates()
+        two, here = p["i"].iloc[0] != p["j"].iloc[0], int(p["tok"].iloc[0])
+        # Sorted by size, partners of similar size follow each other, and sketches never get shorter.
+        end = np.searchsorted(n, DENOMINATOR * n // NUMERATOR, "right")
+        own = np.zeros(len(x), bool)
+        lo, hi, ks, held = [], [], [], 0
+
+        def packed() -> list[np.ndarray]:
+            o = np.lexsort((np.concatenate(ks), np.concatenate(hi), np.concatenate(lo)))
+            z = np.stack([np.concatenate(v)[o] for v in (lo, hi, ks)])
+            return list(z[:, np.append(True, np.any(z[:, 1:] != z[:, :-1], axis=0))])
+
+        length = p["sketch"].str.len().to_numpy()
+        for size in np.unique(length):
+            first, last = np.searchsorted(length, size), np.searchsorted(length, size, "right")
+            stop = int(end[last - 1])
+            bits = np.stack([np.frombuffer(halved(b, size), _U) for b in p["sketch"].iloc[first:stop]])
+            for i in range(first, last):
+                js = np.arange(i + 1, end[i])
+                js = js[(home[js] != home[i]) | (home[i] == here)]
+                if two:
+                    js = js[block[js] != block[i]]
+                if len(js):
+                    js = js[~too_far(np.bitwise_count(bits[js - first] ^ bits[i - first]).sum(1), n[js] + n[i])]
+                same = home[js] == home[i]
+                if same.any():
+                    own[js[same]] = own[i] = True
+                    js = js[~same]
+                if len(js):
+                    there = np.unique(home[js])
+                    for h, k in ((there, np.full(len(there), x[i])), (home[js], x[js])):
+                        lo.append(np.minimum(h, home[i]))
+                        hi.append(np.maximum(h, home[i]))
+                        ks.append(k)
+                        held += len(k)
+                    if held > 1 << 20:
+                        lo, hi, ks = ([v] for v in packed())
+                        held = 0
+        lo.append(home[own])
+        hi.append(home[own])
+        ks.append(x[own])
+        lo, hi, ks = packed() if sum(map(len, ks)) else (np.zeros(0, np.int64),) * 3
+        return pd.DataFrame({"lo": lo, "hi": hi, "k": ks})
 
     return m.groupBy("tok", "i", "j").applyInPandas(run, "lo long, hi long, k long").distinct()
 
 
+def _sketches(home: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(k, size, sketch) of the texts of large buckets."""
+    return sizes.join(home.select(F.col("x").alias("k")), "k", "left_semi").select("k", F.col("n").alias("size"), "sketch")
+
+
+def alike(z: DataFrame, home: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of the pairs (x, y, nx, ny, ...) of texts of large buckets those whose sketches leave room for enough overlap."""
+    sketch = _sketches(home, sizes)
+    fields = z.schema
+    z = z.join(sketch.select(F.col("k").alias("x"), F.col("sketch").alias("sx")), "x").join(sketch.select(F.col("k").alias("y"), F.col("sketch").alias("sy")), "y")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            apart = np.zeros(len(p), np.int64)
+            for i, (a, b) in enumerate(zip(p["sx"], p["sy"], strict=True)):
+                size = min(len(a), len(b))
+                apart[i] = (int.from_bytes(halved(a, size)) ^ int.from_bytes(halved(b, size))).bit_count()
+            yield p[~too_far(apart, (p["nx"] + p["ny"]).to_numpy(np.int64))][fields.names]
+
+    return z.mapInPandas(run, fields)
+
+
 def cells(few: DataFrame, large: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lo, hi, k, side): every pair of texts that may be similar lies in just one cell, that of its two homes.
 
     A text in no large bucket is a home of its own. side tells the home of k, 0 for lo. Of pairs from small buckets
     those go whose sizes, or the n-grams that their prefixes share, leave no room for enough overlap: with prefixes of p of
     |x| and q of |y| n-grams and s of them shared, the overlap is at most s + max(|x| - p, |y| - q). The s is
-    known where one of the two is in no large bucket.
+    known where one of the two is in no large bucket; where both are in one, their sketches tell.
     """
     home, crowds = homes(large)
     z = few.groupBy("x", "y").agg(F.sum("n").alias("n"))
@@ -360,13 +422,14 @@ def cells(few: DataFrame, large: DataFrame, sizes: DataFrame) -> DataFrame:
     z = z.join(home.select("x", F.col("home").alias("hx")), "x", "left").join(home.select(F.col("x").alias("y"), F.col("home").alias("hy")), "y", "left")
     rest = lambda n: F.ceil(NUMERATOR * F.col(n) / F.lit(DENOMINATOR)) - 1
     need = F.ceil(NUMERATOR * (F.col("nx") + F.col("ny")) / F.lit(NUMERATOR + DENOMINATOR))
-    z = z.where((F.col("hx").isNotNull() & F.col("hy").isNotNull()) | (F.col("n") >= need - F.greatest(rest("nx"), rest("ny"))))
+    both = F.col("hx").isNotNull() & F.col("hy").isNotNull()
+    z = materialise(z.where((both & (F.col("hx") != F.col("hy"))) | (~both & (F.col("n") >= need - F.greatest(rest("nx"), rest("ny"))))), "pairs")
+    z = z.where(~both).unionByName(alike(z.where(both), home, sizes))
     z = z.select("x", "y", F.coalesce("hx", "x").alias("hx"), F.coalesce("hy", "y").alias("hy")).where("hx <> hy")
     lo, hi = F.least("hx", "hy").alias("lo"), F.greatest("hx", "hy").alias("hi")
     z = z.select(lo, hi, F.explode(F.array(F.struct(F.col("x").alias("k"), F.col("hx").alias("h")), F.struct(F.col("y").alias("k"), F.col("hy").alias("h")))).alias("e")).select("lo", "hi", "e.k", "e.h")
-    own = home.select(F.col("home").alias("lo"), F.col("home").alias("hi"), F.col("x").alias("k"), F.col("home").alias("h"))
-    other = crowd_cells(crowds, sizes).join(home.select(F.col("x").alias("k"), F.col("home").alias("h")), "k").select("lo", "hi", "k", "h")
-    return z.unionByName(other).unionByName(own).select("lo", "hi", "k", F.when(F.col("h") == F.col("lo"), 0).otherwise(1).alias("side")).distinct()
+    other = crowd_cells(crowds, home, sizes).join(home.select(F.col("x").alias("k"), F.col("home").alias("h")), "k").select("lo", "hi", "k", "h")
+    return z.unionByName(other).select("lo", "hi", "k", F.when(F.col("h") == F.col("lo"), 0).otherwise(1).alias("side")).distinct()
 
 
 def placed(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -455,6 +518,25 @@ def _overlap(left: list[np.ndarray], right: list[np.ndarray], often: Often) -> n
     return total
 
 
+def wanted(bins: DataFrame) -> Callable[[Column], Column]:
+    """Whether a text with hash t may be among `bins`: a text that can't be needn't be moved to the join.
+
+    A text sets one bit of 16 or more, of 2**FILTER_BITS at most (16 MB); where there are more texts, more others pass.
+    """
+    shift = 64 - min(FILTER_BITS, max(16, (16 * bins.count()).bit_length()))
+    spot = F.shiftrightunsigned("t", shift)
+    set_ = bins.groupBy(F.shiftright(spot, 3).cast("int").alias("at")).agg(F.bit_or(F.expr(f"1 << cast(shiftrightunsigned(t, {shift}) & 7 as int)")).cast("short").alias("x")).toArrow()
+    bits = np.zeros(1 << (64 - shift - 3), np.uint8)
+    bits[set_["at"].to_numpy()] = set_["x"].to_numpy().astype(np.uint8)
+    sent = bins.sparkSession.sparkContext.broadcast(bits)
+
+    def among(t: pd.Series) -> pd.Series:
+        at = t.to_numpy(np.int64).view(_U) >> _U(shift)
+        return pd.Series(sent.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1 == 1)
+
+    return F.pandas_udf(among, "boolean")
+
+
 def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarray, links: bool) -> DataFrame:
     """Rows (what, x, y, n) from the units of `place`. 0: x is linked with n rows of other texts. 1: x and y are connected.
 
@@ -463,9 +545,10 @@ def counted(docs: DataFrame, sizes: DataFrame, place: DataFrame, often: np.ndarr
     """
     sent = docs.sparkSession.sparkContext.broadcast(Often(often))  # MAX_FREQUENT n-grams
     bins = place.groupBy("k").agg(F.collect_set("bin").alias("bins")).join(sizes.select("k", "rep"), "k")
-    bins = bins.select("k", "bins", _never_null(F.col("rep.doc_id").cast("string")).alias("r"), F.col("rep.t").alias("t"))
+    bins = materialise(bins.select("k", "bins", _never_null(F.col("rep.doc_id").cast("string")).alias("r"), F.col("rep.t").alias("t")), "bins")
     # Rows that agree in id and text are one; they are made so where the join has put them.
-    texts = docs.select(_never_null(F.col("doc_id").cast("string")).alias("r"), F.xxhash64("text").alias("t"), "text").join(bins, ["r", "t"])
+    texts = docs.select(_never_null(F.col("doc_id").cast("string")).alias("r"), F.xxhash64("text").alias("t"), "text")
+    texts = texts.where(wanted(bins)(F.col("t"))).join(bins, ["r", "t"])
     texts = texts.groupBy("r", "t").agg(F.first("k").alias("k"), F.first("text").alias("text"), F.first("bins").alias("bins"))
     none = [F.lit(0).cast(t).alias(c) for c, t in (("what", "int"), ("lo", "long"), ("hi", "long"), ("i", "int"), ("j", "int"), ("side", "int"))]
     pieces = texts.select(F.explode("bins").alias("bin"), *none, "k", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("w"), "text")
@@ -529,7 +612,7 @@ def _linked(docs: DataFrame, part_bytes: int, links: bool) -> tuple[DataFrame, D
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))).alias("rep")
     sizes = told.where("n > 0").groupBy("k").agg(rep, F.max("n").alias("n"), F.count("*").alias("w"), F.min("sketch").alias("sketch"))
     parts_n = max(8, min(1 << 16, -(-input_bytes(docs) // part_bytes)))
-    found = materialise(buckets(postings(docs, often, parts_n), parts_n), "buckets")
+    found = buckets(postings(docs, often, parts_n), parts_n)
     sizes = materialise(sizes, "sizes")
     members = cells(found.where("what = 0").select("x", "y", "n"), found.where("what = 2").select("x", "tok"), sizes)
     place = materialise(placed(members, sizes), "places")

@@ -384,6 +384,35 @@ def test_jaccard_cells_of_many_blocks(spark, monkeypatch):
 TONGUES = {"aa": ["krzys", "wiecz", "oddzi", "przem"], "bb": ["ouai", "eaux", "oile", "eur"], "cc": ["haka", "mana", "waka", "toko"]}
 
 
+
+def test_jaccard_compares_no_unlike_long_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common_passage = new(300)
+    made = [(i, " ".join(new(1700 + 30 * i) + common_passage), "en", "a") for i in range(20)]
+    near = made[4][1].split()
+    near[100:110] = new(5)
+    made.append((50, " ".join(near), "en", "a"))
+    held, real = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "frequent_ngrams", lambda told: np.zeros((2, 0), np.uint64))  # as where a passage is not among the most frequent
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: held.setdefault(name, real(df, name)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(make_docs(spark, made, clash=False)).collect()}
+    assert got == {i: 4 if i == 50 else i for i, *_ in made}
+    assert held["homes"].count() == 21 and held["places"].select("k").distinct().count() == 2
+
+
+def test_jaccard_sketches_of_several_lengths():
+    rng = np.random.default_rng(5)
+    for n in (1, 700, 1024, 1025, 3000, 200_000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[n // 9 :], rng.integers(0, 1 << 63, n // 3).astype(np.uint64))))
+        x, y = jaccard.parity(a), jaccard.parity(b)
+        size = min(len(x), len(y))
+        apart = (int.from_bytes(jaccard.halved(x, size)) ^ int.from_bytes(jaccard.halved(y, size))).bit_count()
+        assert apart <= len(np.setxor1d(a, b)) and (n == 1 or apart > len(np.setxor1d(a, b)) / 2)
+        assert not jaccard.too_far(np.array([apart]), np.array([len(a) + len(b)])).any() or 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b))
+
+
 def test_texts_with_the_separator():
     m = language.Mixture(["aa"], np.ones((1, language.CELLS)))
     assert [x[0] for x in m.infer(["abc\0def", "ghi", "\0", None, "\0x"])] == ["aa", "aa", "und", "und", "aa"]
