@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import materialise, words
 
 #: Documents in one range of a source, on average: what one running sum has to sort.
 RANGE_ROWS = 5_000
@@ -41,34 +41,54 @@ def mix(docs: DataFrame, key: Column, size: Column, weights: tuple[int, ...] = W
     """doc_id, size, source_size, target, taken, source (and the columns in `keep`) for every row of `docs`.
 
     Each document gets the hash of (seed, id) as a random key. Ranges of the key cut every source, hot ones most,
-    into pieces of RANGE_ROWS or so; their totals give each piece its offset, and a running sum inside the piece
-    ends the prefix sums. A source is taken whole floor(target / size) times; the rest of its budget goes down
-    the random order and cuts its last document at the word. Only documents and sources are ever aggregated; no
-    sampling, so reruns and lost executors give the same rows.
+    into pieces of RANGE_ROWS or so; their totals give each piece its offset, and a running sum inside the one piece
+    in which a source's budget ends finds the last document. A source is taken whole floor(target / size) times;
+    the rest of its budget goes down the random order and cuts its last document at the word: a row is taken,
+    cut or left by its place before, at or after that document, so rows and their texts stay where they
+    are and only a row for each source goes to them. No sampling, so reruns and lost executors give the same rows.
 
     Null ids hash as empty text; null sources are a source of their own, the last; null and blank texts have size
     0 and take 0. Repeated rows tie and are summed one after another. No rows give no rows.
     """
-    n = docs.select(
-        F.col("doc_id"), F.col("source"), size.cast("long").alias("size"), key.alias("_tie"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
-    )
-    per = n.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    key_of = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    lean = docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("_tie"), key_of.alias("_key"))
+    per = lean.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     cuts = source_targets(per.select("source", "source_size"), weights, share, most).join(per.select(F.col("source").alias("_s"), (F.ceil(F.col("_rows") / RANGE_ROWS)).alias("_ranges")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # One row a source: sent to all tasks only if Spark finds it small.
-    n = n.join(cuts.select(F.col("source").alias("_s"), "source_size", "target", "_ranges"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    at = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    n = n.withColumn("_range", F.floor(at * F.col("_ranges") / F.lit(2**32)))
-    totals = n.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    n = n.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = n.withColumn("_start", F.col("_offset") + F.sum("size").over(inside) - F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
-    return n.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    cuts = cuts.withColumn("_epochs", epochs).withColumn("_rest", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
+    # A row for each source. As a table its size is known, and Spark sends it to all tasks only if it is small.
+    cuts = materialise(cuts.select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_rest", "_ranges"), "cuts")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    at = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_ranges") / F.lit(2**32))
+    totals = lean.join(cuts, same).groupBy("_s", at.alias("_range")).agg(F.sum("size").alias("_sum"), F.first("_rest").alias("_rest"), F.first("_ranges").alias("_ranges"))
+    before = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    last = totals.where("_offset <= _rest and _rest < _offset + _sum").select("_s", "_range", "_offset", "_rest", "_ranges")
+    last = materialise(last, "ranges")
+    piece = lean.join(last, same & (at == F.col("_range")))
+    inside = Window.partitionBy("_s").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("_key", "doc_id", "size", "_tie")
+    start = piece.select("*", (F.col("_offset") + F.sum("size").over(inside) - F.col("size")).alias("_start"), place.alias("_end"))
+    # The rows that are equal to the last document, itself included: the first one's start, and how many they are.
+    twins = start.groupBy("_s", "_end").agg(F.min("_start").alias("_start"), F.count("*").alias("_twins"), F.max(F.col("_start") + F.col("size")).alias("_stop"), F.first("_rest").alias("_rest"))
+    ends = twins.where("_start <= _rest and _rest < _stop").select("_s", "_end", "_start", "_twins")
+    cuts = materialise(cuts.join(ends.withColumnRenamed("_s", "_e"), F.col("_s").eqNullSafe(F.col("_e")), "left").drop("_e"), "cuts")
+
+    rows = docs.select(
+        "doc_id", "source", size.cast("long").alias("size"), key.alias("_tie"), key_of.alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
+    )
+    left = F.col("_rest") - F.col("_start")
+    part = F.when(F.col("_end").isNull() | (place < F.col("_end")), F.col("size")).when(place > F.col("_end"), F.lit(0)).otherwise(F.least(F.col("size"), left))
+    one = F.coalesce((F.col("_twins") == 1) | (place != F.col("_end")), F.lit(True))
+    several = Window.partitionBy("source").orderBy("_key")
+    among = F.greatest(F.lit(0), F.least(F.col("size"), left - (F.row_number().over(several) - 1) * F.col("size")))
+    out = ["doc_id", "size", "source_size", "target"]
+    rest = ["source", *[F.col(f"_keep_{c}").alias(c) for c in keep]]
+    taken = lambda p: (F.col("_epochs") * F.col("size") + p).cast("long").alias("taken")
+    single = rows.join(cuts, same).where(one).select(*out, taken(part), *rest)
+    again = cuts.where("_twins > 1")  # seldom any
+    equal = rows.join(again, same & F.col("doc_id").eqNullSafe(F.col("_end.doc_id"))).where(~one).withColumn("_part", among).select(*out, taken(F.col("_part")), *rest)
+    return single.unionByName(equal)
 
 
 def n_words(text: Column) -> Column:

@@ -757,6 +757,28 @@ def test_targets(spark, sizes):
     assert got == pytest.approx([min(2 * n, low * w) for n, w in zip(sizes, weight, strict=True)], rel=1e-6, abs=1e-6)
 
 
+def test_mixing_moves_no_texts_and_cuts_among_equal_rows(spark):
+    # The budget of source b ends within its three equal rows.
+    made = [(1, "ba " * 10, "en", "b")] * 3 + [(2, "ke " * 50, "en", "a"), (None, "x y", "fr", None), (3, "li " * 5, "en", "b")]
+    df = make_docs(spark, made, clash=False)
+    out = mixing.mix_documents(df, keep=("text",))
+    got = out.collect()
+    key = lambda x: hashlib.md5(f"mix{'' if x is None else x}".encode()).hexdigest()
+    for source in ("a", "b", None):
+        mine = sorted((r for r in got if r["source"] == source), key=lambda r: (key(r["doc_id"]), -r["taken"]))
+        total, left = sum(r["size"] for r in mine), round(mine[0]["target"])
+        whole = left // total
+        left -= whole * total
+        for r in mine:
+            assert r["taken"] == whole * r["size"] + min(left, r["size"])
+            left -= min(left, r["size"])
+        assert left == 0
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t, *_ in made)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[-1]  # the one shuffle is that of the equal rows
+    assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan
+
+
 def test_mixing(docs, rows, no_docs, spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
     got = mixing.mix_documents(docs).collect()
