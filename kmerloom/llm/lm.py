@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -15,21 +16,22 @@ from pyspark.sql import functions as F
 from .common import input_bytes, materialise, release
 
 _U = np.uint64
-#: Base of the count levels; bits for each entry; hash functions; bytes of filter that one pass broadcasts.
-BASE, BITS, HASHES, MAX_FILTER_BYTES = 1.5, 8, 4, 256 << 20
+#: Base of the count levels; bits for each entry; hash functions; bytes of filter that one pass broadcasts, which every
+#: Python worker holds for itself.
+BASE, BITS, HASHES, MAX_FILTER_BYTES = 1.5, 8, 4, 128 << 20
 #: Documents with neighbouring ids form a block, which shares one dictionary of exact word counts.
-BLOCK_IDS, BLOCK_BYTES, SEGMENT_BYTES, LEAST_BLOCKS = 2048, 8 << 20, 8 << 20, 64
+BLOCK_IDS, BLOCK_BYTES, SEGMENT_BYTES, LEAST_BLOCKS = 2048, 8 << 20, 4 << 20, 64
 #: Words of at least this share of a sample's tokens are dealt out as contexts by the word after them; texts of the sample.
 HOT_SHARE, HOT_TEXTS = 0.002, 2000
-#: Tokens that are counted together, and scored together.
-FLUSH, SCORED = 1_000_000, 400_000
+#: Tokens that are counted together, and scored together; words whose hashes a worker remembers.
+FLUSH, SCORED, REMEMBERED = 500_000, 200_000, 200_000
 END, START = _U(0x5BD1E9955BD1E995), _U(0x2545F4914F6CDD1D)
 PAIR, CONTEXT, FANOUT = _U(0x1000193), _U(0x2000289), _U(0x300038F)  # kinds of entries
 
 
 class Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -79,12 +81,12 @@ class Filter:
         self.segments = segments
         self.size = np.zeros(segments, _U)
         self.start = np.zeros(segments, _U)
-        parts, at = [], 0
-        for s, b in sorted(bits.items()):
+        self.bits, at = np.zeros(sum(map(len, bits.values())), np.uint8), 0
+        for s in sorted(bits):
+            b = bits.pop(s)  # so that the segments are not held twice
             self.size[s], self.start[s] = len(b) * 8, at * 8
-            parts.append(np.frombuffer(b, np.uint8))
+            self.bits[at : at + len(b)] = np.frombuffer(b, np.uint8)
             at += len(b)
-        self.bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     @staticmethod
     def hashes(key: np.ndarray, kind: np.uint64, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +156,7 @@ def count(docs: DataFrame, segments: int, hot: np.ndarray, fold: int = 10, out:
     A word's row has every word of the block, trained on or not, as the block has to be told its count.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         get = known.__getitem__
         ids: list[np.ndarray] = []
@@ -162,25 +164,29 @@ def count(docs: DataFrame, segments: int, hot: np.ndarray, fold: int = 10, out:
         train: list[bool] = []
         size = 0
 
-        def packed() -> pd.DataFrame:
+        def packed() -> pa.RecordBatch:
             rows = []
             n = np.array([len(x) for x in ids])
             x, t = np.concatenate(ids), np.repeat(np.array(train), n)
+            ids.clear()
             b = np.repeat(np.array(blocks, np.int64), n)
             for one in np.unique(blocks):
                 at = b == one
                 u, inv = np.unique(x[at], return_inverse=True)
                 c = np.bincount(inv, t[at], len(u)).astype(np.uint32)
                 rows += cut(0, (u % _U(segments)).astype(np.int64), u, c, int(one))
+            del b, at, u, inv, c
             last = np.cumsum(n) - n
             h = np.empty_like(x)
             h[1:] = x[:-1]
             h[last] = START
             # Equal pairs have equal sums; the pairs themselves are those of the first places.
-            _, first, c = np.unique(mix(h[t]) * _U(3) + x[t], return_index=True, return_counts=True)
-            h, w = h[t][first], x[t][first]
+            h, x = h[t], x[t]
+            _, first, c = np.unique(mix(h) * _U(3) + x, return_index=True, return_counts=True)
+            h, w = h[first], x[first]
             rows += cut(1, segment_of(h, w, segments, hot), pair_key(h, w, segments), c.astype(np.uint32), -1)
-            return pd.DataFrame(rows, columns=["what", "segment", "block", "keys", "counts"])
+            ints = [pa.array([r[i] for r in rows], pa.int32()) for i in range(3)]
+            return pa.RecordBatch.from_arrays(ints + [pa.array([r[i] for r in rows], pa.binary()) for i in (3, 4)], ["what", "segment", "block", "keys", "counts"])
 
         def cut(what: int, seg: np.ndarray, keys: np.ndarray, c: np.ndarray, block: int) -> list[tuple]:
             o = np.argsort(seg, kind="stable")
@@ -189,7 +195,8 @@ def count(docs: DataFrame, segments: int, hot: np.ndarray, fold: int = 10, out:
             return [(what, int(seg[i]), block, keys[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(first, np.append(first, len(seg))[1:], strict=True)]
 
         for p in parts:
-            for d, block, text in zip(p["d"], p["block"], p["text"], strict=True):
+            for d, block, text in zip(p["d"], p["block"], p["text"], strict=True):  # one text at a time becomes a Python string
+                d, block, text = d.as_py(), block.as_py(), text.as_py()
                 w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
                 a = np.empty(len(w) + 1, _U)
                 a[:-1] = list(map(get, w))
@@ -204,7 +211,7 @@ def count(docs: DataFrame, segments: int, hot: np.ndarray, fold: int = 10, out:
         if ids:
             yield packed()
 
-    return docs.mapInPandas(run, "what int, segment int, block int, keys binary, counts binary")
+    return docs.mapInArrow(run, "what int, segment int, block int, keys binary, counts binary")
 
 
 def gather(counts: DataFrame, bits_per: float, segments: int, hot: np.ndarray) -> DataFrame:
@@ -353,6 +360,7 @@ def lm_scores(docs: DataFrame, fold: int = 10, out: int = 0, max_filter_bytes: i
         if k == 0:  # the tokens whose segments no pass holds fall to the first
             mine |= ~np.isin(np.arange(segments), [s for s, _ in sizes])
         sent = spark.sparkContext.broadcast((scorer, mine))  # at most max_filter_bytes of filter
+        del scorer
         here = _score(both, sent, k == 0)
         if len(passes) > 1:
             here = materialise(here, "pass")
@@ -381,7 +389,7 @@ def _hot_parts(got: DataFrame) -> DataFrame:
 def _score(both: DataFrame, sent: Broadcast, first: bool) -> DataFrame:
     """Sums by row of the tokens that the pass with (scorer, its segments) in `sent` is for."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, mine = sent.value
         known = Words()
         get = known.__getitem__
@@ -390,7 +398,7 @@ def _score(both: DataFrame, sent: Broadcast, first: bool) -> DataFrame:
         size = 0
         norm = s.n + 0.1 * (s.v + 1)
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             n = np.array([len(x[2]) for x in held])
             w = np.concatenate([x[2] for x in held])
             begin = np.cumsum(n) - n
@@ -408,22 +416,25 @@ def _score(both: DataFrame, sent: Broadcast, first: bool) -> DataFrame:
             lp[own] = s.logp(h[own], w[own], c[own])
             add = lambda x: np.add.reduceat(x, begin)
             k = 1 if first else 0
-            return pd.DataFrame({"d": [x[0] for x in held], "tie": [x[1] for x in held], "n_tokens": n * k, "n_known": add((c > 0).astype(np.int64)) * k, "base_score": add(base) * k, "score": add(lp)})
+            ids = {"d": pa.array([x[0] for x in held], pa.string()), "tie": pa.array([x[1] for x in held], pa.int64())}
+            return pa.RecordBatch.from_pydict(ids | {"n_tokens": n * k, "n_known": add((c > 0).astype(np.int64)) * k, "base_score": add(base) * k, "score": add(lp)})
 
         for p in parts:
-            for b, what, d, text, keys, counts in zip(p["block"], p["what"], p["d"], p["text"], p["keys"], p["counts"], strict=True):
+            for b, what, d, text, keys, counts in zip(*[p.column(c) for c in ("block", "what", "d", "text", "keys", "counts")], strict=True):
+                b = b.as_py()
                 if b != block:
                     if held:
                         yield flush()
                         held, size = [], 0
                     block, told, have = b, [], None
-                if what == 0:
-                    told.append((np.frombuffer(keys, _U), np.frombuffer(counts, np.int64)))
+                if what.as_py() == 0:
+                    told.append((np.frombuffer(keys.as_py(), _U), np.frombuffer(counts.as_py(), np.int64)))
                     continue
                 if have is None:
                     k, c = (np.concatenate([x[i] for x in told]) for i in (0, 1))
                     o = np.argsort(k)
-                    have = k[o], c[o]
+                    have, told = (k[o], c[o]), []
+                d, text = d.as_py(), text.as_py()
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 w = raw.lower().split()
                 a = np.empty(len(w) + 1, _U)
@@ -437,5 +448,5 @@ def _score(both: DataFrame, sent: Broadcast, first: bool) -> DataFrame:
         if held:
             yield flush()
 
-    return both.mapInPandas(run, "d string, tie long, n_tokens long, n_known long, base_score double, score double")
+    return both.mapInArrow(run, "d string, tie long, n_tokens long, n_known long, base_score double, score double")
 

@@ -6,11 +6,13 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -947,3 +949,43 @@ def test_quality_of_odd_rows(spark):
             assert r["perplexity"] == pytest.approx(p) and r["keep"] == (r["perplexity"] <= r["threshold"])
     fresh = [r for r in again if r["doc_id"] is not None and crc(r["doc_id"]) % quality.HELD == 0]
     assert fresh and max(r["perplexity"] for r in fresh) == pytest.approx(fresh[0]["threshold"]) and all(r["keep"] for r in fresh)
+
+
+def test_lm_buffers_are_small():
+    """What a Python worker holds beside its input stays small: two workers share an executor's memory with its JVM."""
+    class Taken:
+        def mapInArrow(self, f, schema):
+            self.run = f
+            return self
+
+        def mapInPandas(self, f, schema):
+            self.run = lambda parts: (pa.RecordBatch.from_pandas(x) for x in f(p.to_pandas() for p in parts))
+            return self
+
+    rng = np.random.default_rng(5)
+    text = [" ".join(map(str, rng.zipf(1.2, 400) % 400_000)) for _ in range(6000)]
+    d, block = [str(i) for i in range(6000)], np.arange(6000, dtype=np.int32) // 2048
+    given = pa.RecordBatch.from_pydict({"d": d, "block": block, "text": text})
+    run = lm.count(Taken(), 64, np.zeros(0, np.uint64)).run
+    tracemalloc.start()
+    try:
+        tokens = 0
+        for r in run(iter([given])):
+            tokens += sum(np.frombuffer(c.as_py(), np.uint32).sum() for w, c in zip(r["what"], r["counts"]) if w.as_py() == 0)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert tokens == sum(401 for i in d if crc(i) % 10)
+    assert most < 100 << 20
+    known = lm.Words()
+    for i in range(300_000):
+        known[b"%d" % i]
+    assert len(known) <= 200_000 and known[b"7"] == lm.Words()[b"7"]
+    bits = {s: bytes([s]) * (1 << 20) for s in range(32)}
+    tracemalloc.start()
+    try:
+        f = lm.Filter(32, bits)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20 and not bits
+    finally:
+        tracemalloc.stop()
+    assert all(f.bits[int(f.start[s]) >> 3] == s for s in range(32))
